@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from gossamer.llm.packing import op7_packing
+from gossamer.llm.sharding import op10_sharding
 from gossamer.llm.simhash import op3_simhash
 
-QUERIES = {"op3_simhash": op3_simhash}
+QUERIES = {"op3_simhash": op3_simhash, "op7_packing": op7_packing, "op10_sharding": op10_sharding}
 ORACLES: dict[str, str] = {}
