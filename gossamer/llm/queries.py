@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from gossamer.llm.iblt import op9_iblt
 from gossamer.llm.packing import op7_packing
+from gossamer.llm.quality import op6_quality
 from gossamer.llm.sharding import op10_sharding
 from gossamer.llm.simhash import op3_simhash
 
-QUERIES = {"op3_simhash": op3_simhash, "op7_packing": op7_packing, "op10_sharding": op10_sharding}
+QUERIES = {"op3_simhash": op3_simhash, "op6_quality": op6_quality, "op9_iblt": op9_iblt, "op7_packing": op7_packing, "op10_sharding": op10_sharding}
 ORACLES: dict[str, str] = {}
