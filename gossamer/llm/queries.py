@@ -8,7 +8,8 @@ from gossamer.llm.quality import op6_quality
 from gossamer.llm.secrets import op4_secrets
 from gossamer.llm.sharding import op10_sharding
 from gossamer.llm.simhash import op3_simhash
+from gossamer.llm.toxicity import op1_toxicity
 from gossamer.llm.url_filter import op5_url_filter
 
-QUERIES = {"op3_simhash": op3_simhash, "op4_secrets": op4_secrets, "op5_url_filter": op5_url_filter, "op6_quality": op6_quality, "op9_iblt": op9_iblt, "op7_packing": op7_packing, "op10_sharding": op10_sharding}
+QUERIES = {"op1_toxicity": op1_toxicity, "op3_simhash": op3_simhash, "op4_secrets": op4_secrets, "op5_url_filter": op5_url_filter, "op6_quality": op6_quality, "op9_iblt": op9_iblt, "op7_packing": op7_packing, "op10_sharding": op10_sharding}
 ORACLES: dict[str, str] = {}
