@@ -9,7 +9,9 @@ items of each length, salted so that a hot length spreads, and the rank decides
 
 from __future__ import annotations
 
-import os
+import base64
+import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -28,51 +30,55 @@ END_ID = 1
 REMEMBERED = 200_000
 
 
+#: White space behind white space, and a blank with none on either side.
+_RUN, _ALONE = re.compile(r"\s\s|^\s|\s$"), re.compile(r"(?<=\S) (?=\S)")
+
+
 class Encoder:
     """Byte-level BPE ids of whole texts as little-endian unsigned 32-bit bytes.
 
     The pre-tokenizer never joins what stands on both sides of a single blank between other characters, so the ids of
-    the part that such a blank begins depend on that part alone and are remembered. Texts with runs of white space
-    are encoded whole.
+    the part that such a blank begins depend on that part alone and are remembered, in two generations. Runs of white
+    space stay inside a part. Merging by the ranks of the vocabulary gives the ids that its merge list gives.
     """
 
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, pattern: str):
+        import tiktoken
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        self.encode = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+    def _encode(self, text: str) -> bytes:
+        ids = self.encode(text)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __call__(self, text: str) -> bytes:
-        parts = text.split(" ")
-        if len(parts) == 1 or not all(parts) or any(p[0].isspace() or p[-1].isspace() for p in parts):
-            return self._encode([text])[0]
+        parts = _ALONE.split(text) if _RUN.search(text) else text.split(" ")
         first, rest = parts[0], parts[1:]
+        known = self.known
         try:
-            tail = b"".join(map(self.known.__getitem__, rest))
+            tail = b"".join(map(known.__getitem__, rest))
         except KeyError:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            new = [p for p in dict.fromkeys(rest) if p not in self.known]
-            self.known.update(zip(new, self._encode([" " + p for p in new])))
-            tail = b"".join(map(self.known.__getitem__, rest))
-        return self._encode([first])[0] + tail
+            if len(known) > REMEMBERED:
+                self.before, self.known = known, {}
+                known = self.known
+            for p in rest:
+                if p not in known:
+                    known[p] = self.before.get(p) or self._encode(" " + p)
+            tail = b"".join(map(known.__getitem__, rest))
+        return self._encode(first) + tail
 
 
-def byte_bpe(path: str | None = None) -> Callable[[], Encoder]:
-    """Makes the encoder on a worker; the vocabulary file is found there by name if no path is given."""
+def byte_bpe(path: str | None = None, pattern: str | None = None) -> Callable[[], Encoder]:
+    """Makes the encoder on a worker; vocabulary file and pattern are found there by name if none are given."""
 
     def make() -> Encoder:
-        if path is None:
-            import public_tokenizers
+        import public_tokenizers as known
 
-            return Encoder(public_tokenizers.path("byte_bpe_50k.json"))
-        return Encoder(path)
+        return Encoder(path or known.path("byte_bpe_50k.tiktoken"), pattern or known.PATTERN)
 
     return make
 
