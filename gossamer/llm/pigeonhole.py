@@ -28,13 +28,15 @@ def cells(prints: DataFrame, n: int, radius: int, chunk_rows: int = CHUNK_ROWS)
     and loses nothing.
     """
     tables = [F.struct(F.lit(t).alias("t"), _key(F.col("fp"), parts).alias("key")) for t, parts in enumerate(scheme(n, radius))]
-    spread = prints.withColumn("at", F.explode(F.array(*tables))).select("*", F.col("at.t").alias("t"), F.col("at.key").alias("key")).drop("at")
+    places = F.explode(F.array(*tables)).alias("__at")
+    spread = prints.select("*", places).select(*prints.columns, F.col("__at.t").alias("__t"), F.col("__at.key").alias("__key"))
     hot = (
-        prints.select("fp").withColumn("at", F.explode(F.array(*tables))).groupBy(F.col("at.t").alias("t"), F.col("at.key").alias("key"))
+        prints.select(places).groupBy(F.col("__at.t").alias("__t"), F.col("__at.key").alias("__key"))
         .agg(F.count("*").alias("size")).where(F.col("size") > chunk_rows)
-        .select("t", "key", F.ceil(F.col("size") / chunk_rows).cast("int").alias("chunks"))
+        .select("__t", "__key", F.ceil(F.col("size") / chunk_rows).cast("int").alias("__chunks"))
     )
-    own = F.pmod(F.xxhash64("fp", F.lit(7)), F.coalesce("chunks", F.lit(1))).cast("int")
-    paired = spread.join(hot, ["t", "key"], "left").withColumn("own", own)
-    paired = paired.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)))
-    return paired.withColumn("cell", F.xxhash64("t", "key", F.least("own", "other"), F.greatest("own", "other"))).drop("t", "key", "chunks", "own", "other")
+    chunks = F.coalesce("__chunks", F.lit(1))
+    paired = spread.join(hot, ["__t", "__key"], "left").withColumn("__own", F.pmod(F.xxhash64("fp", F.lit(7)), chunks).cast("int"))
+    paired = paired.withColumn("__other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    cell = F.xxhash64("__t", "__key", F.least("__own", "__other"), F.greatest("__own", "__other"))
+    return paired.select(*prints.columns, cell.alias("cell"))
