@@ -1,9 +1,9 @@
 """Document fingerprints that can be subtracted: invertible Bloom lookup sketches of paragraph digests.
 
 A text is cut into paragraphs (its lines, long ones cut on at words chosen by their hash, so that an edit moves the cuts
-near it only). Each paragraph's 64-bit digest goes into three cells of a sketch: a count, the XOR of digests and the XOR of
-check values. Subtracting two sketches leaves the digests that differ, and peeling cells that hold one
-recovers them with their side; where that fails, both texts are sketched again in twice the cells.
+near it only). Each paragraph's 64-bit digest goes into three cells of a sketch: a count, the sum of digests and the sum of
+check values, both modulo 2**64. Subtracting two sketches leaves the digests that differ, and peeling cells that hold one
+recovers them with their side; where that fails, both texts are sketched again in more cells.
 """
 
 from __future__ import annotations
@@ -24,92 +24,143 @@ from gossamer.llm.common import id_text, record_batch, slices, table
 #: Cells of the sketch that the fingerprint carries; a multiple of 3.
 CELLS = 12
 #: A long line is cut after a word whose hash is 0 modulo this, so about so many words on average.
-CUT_EVERY = 4
+CUT_EVERY = 6
 
-_MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F))
+_MIX = np.array([[0xBF58476D1CE4E5B9], [0x94D049BB133111EB], [0xD6E8FEB86659FD93], [0xC2B2AE3D27D4EB4F]], dtype=np.uint64)
+_A, _B = np.uint64(31), np.uint64(29)
 
 
-def paragraphs(text: str, cut_every: int = CUT_EVERY) -> list[bytes]:
+class _Cuts(dict):
+    """Whether a line is cut behind a word, remembered."""
+
+    def __missing__(self, word: bytes) -> bool:
+        if len(self) > 200_000:
+            self.clear()
+        self[word] = out = xxhash.xxh32_intdigest(word) % CUT_EVERY == 0
+        return out
+
+
+_CUTS = _Cuts()
+
+
+def paragraphs(text: str) -> list[bytes]:
     """The paragraphs of a text, in order; white space at their ends and empty lines do not count."""
     out: list[bytes] = []
     for line in text.encode("utf-8", "replace").split(b"\n"):
         words = line.split()
         start = 0
-        for i, word in enumerate(words, 1):
-            if i == len(words) or xxhash.xxh32_intdigest(word) % cut_every == 0:
-                out.append(b" ".join(words[start:i]))
-                start = i
+        for i in [i for i, word in enumerate(words, 1) if _CUTS[word]]:
+            out.append(b" ".join(words[start:i]))
+            start = i
+        if start < len(words):
+            out.append(b" ".join(words[start:]))
     return out
 
 
-def digests(text: str) -> np.ndarray:
+def digests(text: str) -> Keys:
     """A 64-bit digest of each paragraph; the n-th copy of a paragraph has a digest of its own."""
     seen: dict[bytes, int] = {}
     out = []
     for part in paragraphs(text):
         n = seen[part] = seen.get(part, -1) + 1
         out.append(xxhash.xxh64_intdigest(part, n))
-    return np.array(sorted(set(out)), dtype=np.uint64)
-
-
-def _hash(keys: np.ndarray, which: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (keys ^ (keys >> np.uint64(31))) * _MIX[which]
-        return x ^ (x >> np.uint64(29))
-
-
-def places(keys: np.ndarray, cells: int) -> np.ndarray:
-    """(3, n): the cell of each key in each third of the sketch."""
-    third = cells // 3
-    return np.stack([(_hash(keys, i) % np.uint64(third)).astype(np.int64) + i * third for i in range(3)])
-
-
-def sketch(keys: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(counts, XOR of keys, XOR of check values) of a set of distinct keys."""
-    count, both, check = np.zeros(cells, dtype=np.int64), np.zeros(cells, dtype=np.uint64), np.zeros(cells, dtype=np.uint64)
-    sums = _hash(keys, 3)
-    for at in places(keys, cells):
-        np.add.at(count, at, 1)
-        np.bitwise_xor.at(both, at, keys)
-        np.bitwise_xor.at(check, at, sums)
-    return count, both, check
-
-
-def peel(count: np.ndarray, both: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-    """(keys only in the first, keys only in the second) of a difference of two sketches; None if it does not come apart."""
-    count, both, check = count.copy(), both.copy(), check.copy()
-    sides: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
-    while True:
-        pure = np.flatnonzero((np.abs(count) == 1) & (_hash(both, 3) == check))
-        if not len(pure):
-            break
-        keys, first = np.unique(both[pure], return_index=True)
-        sign = count[pure][first]
-        sums = _hash(keys, 3)
-        for at in places(keys, len(count)):
-            np.subtract.at(count, at, sign)
-            np.bitwise_xor.at(both, at, keys)
-            np.bitwise_xor.at(check, at, sums)
-        sides[0].append(keys[sign > 0])
-        sides[1].append(keys[sign < 0])
-    if count.any() or both.any() or check.any():
-        return None
-    return tuple(np.concatenate([np.zeros(0, dtype=np.uint64), *x]) for x in sides)  # type: ignore[return-value]
-
-
-def difference(a: np.ndarray, b: np.ndarray, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray]:
-    """Digests only in a and only in b, by subtracting sketches and peeling; each failure doubles the cells."""
-    while 3 * cells < 2 * abs(len(a) - len(b)):
-        cells *= 2
+    return Keys(np.array(sorted(set(out)), dtype=np.uint64))
+
+
+def _hashes(keys: np.ndarray, mix: np.ndarray = _MIX) -> np.ndarray:
+    """A row of hashes for each of the multipliers."""
+    x = (keys ^ (keys >> _A)) * mix
+    return x ^ (x >> _B)
+
+
+def _thrice(x: np.ndarray) -> np.ndarray:
+    return np.concatenate((x, x, x))
+
+
+class Keys:
+    """A set of digests with their hashes: three for the places in a sketch, one to check by."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        hashes = _hashes(keys)
+        self.spots, self.checks = hashes[:3], hashes[3]
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def places(self, cells: int) -> np.ndarray:
+        """The cell of each key in each third of the sketch, the three thirds one behind the other."""
+        third = cells // 3
+        at = (self.spots % np.uint64(third)).astype(np.int64)
+        at[1] += third
+        at[2] += 2 * third
+        return at.ravel()
+
+
+class Sketch:
+    """Counts, sums of keys and sums of checks in cells."""
+
+    def __init__(self, cells: int, counts: np.ndarray, keys: np.ndarray, checks: np.ndarray):
+        self.cells, self.counts, self.keys, self.checks = cells, counts, keys, checks
+
+    @classmethod
+    def of(cls, held: Keys, cells: int) -> Sketch:
+        at = held.places(cells)
+        out = cls(cells, np.bincount(at, minlength=cells), np.zeros(cells, dtype=np.uint64), np.zeros(cells, dtype=np.uint64))
+        np.add.at(out.keys, at, _thrice(held.keys))
+        np.add.at(out.checks, at, _thrice(held.checks))
+        return out
+
+    def minus(self, other: Sketch) -> Sketch:
+        return Sketch(self.cells, self.counts - other.counts, self.keys - other.keys, self.checks - other.checks)
+
+    def peel(self) -> tuple[np.ndarray, np.ndarray] | None:
+        """(keys on the left, keys on the right) of a difference; None if it does not come apart. Empties the sketch."""
+        sides: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+        while True:
+            one = np.flatnonzero(np.abs(self.counts) == 1)
+            sign = self.counts[one]
+            keys = np.where(sign > 0, self.keys[one], -self.keys[one])
+            checks = np.where(sign > 0, self.checks[one], -self.checks[one])
+            pure = _hashes(keys, _MIX[3]) == checks
+            if not pure.any():
+                break
+            keys, first = np.unique(keys[pure], return_index=True)
+            sign = sign[pure][first]
+            found = Keys(keys)
+            at = found.places(self.cells)
+            np.subtract.at(self.counts, at, _thrice(sign))
+            np.subtract.at(self.keys, at, _thrice(np.where(sign > 0, keys, -keys)))
+            np.subtract.at(self.checks, at, _thrice(np.where(sign > 0, found.checks, -found.checks)))
+            sides[0].append(keys[sign > 0])
+            sides[1].append(keys[sign < 0])
+        if self.counts.any() or self.keys.any() or self.checks.any():
+            return None
+        return tuple(np.concatenate([np.zeros(0, dtype=np.uint64), *x]) for x in sides)  # type: ignore[return-value]
+
+
+def expected(a: Keys, b: Keys, least: int = 32) -> int:
+    """About how many digests differ, from the smallest ones of both sets, which are a sample of each."""
+    x, y = set(a.keys[:least].tolist()), set(b.keys[:least].tolist())
+    both = sorted(x | y)[:least]
+    apart = sum((k in x) != (k in y) for k in both)
+    return (len(a) + len(b)) * apart // max(2 * len(both) - apart, 1)
+
+
+def difference(a: Keys, b: Keys, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray]:
+    """Digests only in a and only in b, by subtracting sketches and peeling; each failure doubles the cells.
+
+    The first size has room for the difference that a sample makes likely, and is the fingerprints' own at least.
+    """
+    cells = max(cells, 3 * ((expected(a, b) + abs(len(a) - len(b))) // 2 + 1))
     while True:
-        x, y = sketch(a, cells), sketch(b, cells)
-        found = peel(x[0] - y[0], x[1] ^ y[1], x[2] ^ y[2])
+        found = Sketch.of(a, cells).minus(Sketch.of(b, cells)).peel()
         if found is not None:
             return found
         cells *= 2
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
+def likeness(a: Keys, b: Keys) -> float:
     """Shared digests over all digests, from the sizes and the recovered difference; two empty texts are alike."""
     left, right = difference(a, b)
     apart = len(left) + len(right)
@@ -117,10 +168,10 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return 1.0 if not shared + apart else shared / (shared + apart)
 
 
-def fingerprint(keys: np.ndarray, cells: int = CELLS) -> str:
-    """The sketch as text: the number of digests, then base64 of counts (2 bytes each), keys and check values (8 and 4)."""
-    count, both, check = sketch(keys, cells)
-    packed = count.astype("<u2").tobytes() + both.astype("<u8").tobytes() + (check >> np.uint64(32)).astype("<u4").tobytes()
+def fingerprint(keys: Keys, cells: int = CELLS) -> str:
+    """The sketch as text: the number of digests, then base64 of counts, sums of keys and of check values (4, 8 and 4 bytes a cell)."""
+    own = Sketch.of(keys, cells)
+    packed = own.counts.astype("<u4").tobytes() + own.keys.astype("<u8").tobytes() + (own.checks >> np.uint64(32)).astype("<u4").tobytes()
     return f"{len(keys)}:{base64.b64encode(packed).decode()}"
 
 
