@@ -61,12 +61,13 @@ class Part(InputPartition):
 
 class GossipReader(DataSourceReader):
     def __init__(self, options: dict):
+        options = {k.lower(): v for k, v in options.items()}  # names of options have no case
         self.path = options.get("path", "")
         self.framing = options.get("framing", "auto")
-        self.start = int(options.get("startOrd", "0"))
-        self.skip_version = options.get("skipVersionByte", "true").lower() == "true"
+        self.start = int(options.get("startord", "0"))
+        self.skip_version = options.get("skipversionbyte", "true").lower() == "true"
         self.failfast = options.get("mode", "PERMISSIVE").upper() == "FAILFAST"
-        self.part_bytes = int(options.get("partBytes", str(PART_BYTES)))
+        self.part_bytes = int(options.get("partbytes", str(PART_BYTES)))
         if self.framing not in (*FRAMINGS, "auto"):
             raise ValueError(f"framing is auto or one of {FRAMINGS}, not {self.framing!r}")
 
