@@ -100,7 +100,7 @@ class Groups:
 
 
 #: Up to so many rows a group is compared lane against shifted lane, all groups of a batch at once; beyond, from a frontier.
-SMALL = 256
+SMALL = 2048
 
 
 def shifted_pairs(prints: np.ndarray, group: np.ndarray, radius: int):
@@ -176,7 +176,7 @@ def links(prints: np.ndarray, group: np.ndarray, radius: int) -> list[tuple[int,
     return out
 
 
-def scheme(n: int, radius: int, target: int = 64) -> list[list[tuple[int, int]]]:
+def scheme(n: int, radius: int, target: int = 1024) -> list[list[tuple[int, int]]]:
     """The pigeonhole tables for n fingerprints: each a list of (first bit, bits) whose values make its key.
 
     With radius + c blocks, two fingerprints within the radius agree on at least c of them, so every choice of c

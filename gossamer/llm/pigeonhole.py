@@ -19,24 +19,30 @@ def _key(prints: Column, parts: list[tuple[int, int]]) -> Column:
     return out
 
 
+#: Hash places that keys are counted in, for each table; the counts of over-full ones are all that is broadcast.
+PLACES = 1 << 14
+
+
 def cells(prints: DataFrame, n: int, radius: int, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """``prints`` (with a long column ``fp``) once per cell that a row belongs to, the cell as long ``cell``.
 
-    Any two rows within the radius share a cell at least. A key that more than ``chunk_rows`` rows share is cut by
-    hash into chunks; each pair of chunks is a cell of its own, so no cell holds more than about two chunks and a hot
-    key spreads over many tasks. Distinct (table, key, chunk pair) may share a ``cell`` hash, which costs comparisons
-    and loses nothing.
+    Any two rows within the radius share a cell at least. Keys are counted by hash place, which combines before its shuffle;
+    the keys of a place with ``chunk_rows`` more rows than twice the average are cut by hash into chunks, and each pair of
+    chunks is a cell of its own. So no cell holds more than about two chunks and two average places, a hot key spreads over many
+    tasks, and the table that says which places to cut has PLACES rows for each pigeonhole table at most. Different keys may share a
+    ``cell`` hash, which costs comparisons and loses nothing.
     """
     tables = [F.struct(F.lit(t).alias("t"), _key(F.col("fp"), parts).alias("key")) for t, parts in enumerate(scheme(n, radius))]
-    places = F.explode(F.array(*tables)).alias("__at")
-    spread = prints.select("*", places).select(*prints.columns, F.col("__at.t").alias("__t"), F.col("__at.key").alias("__key"))
-    hot = (
-        prints.select(places).groupBy(F.col("__at.t").alias("__t"), F.col("__at.key").alias("__key"))
-        .agg(F.count("*").alias("size")).where(F.col("size") > chunk_rows)
-        .select("__t", "__key", F.ceil(F.col("size") / chunk_rows).cast("int").alias("__chunks"))
+    at = F.explode(F.array(*tables)).alias("__at")
+    name = F.xxhash64("__at.t", "__at.key")
+    full = (
+        prints.select(at).groupBy(F.col("__at.t").alias("__t"), F.pmod(name, F.lit(PLACES)).alias("__place"))
+        .agg(F.count("*").alias("__size")).where(F.col("__size") > chunk_rows + 2 * n // PLACES)
+        .select("__t", "__place", F.ceil(F.col("__size") / chunk_rows).cast("int").alias("__chunks"))
     )
+    spread = prints.select("*", at).select(*prints.columns, F.col("__at.t").alias("__t"), name.alias("__name"), F.pmod(name, F.lit(PLACES)).alias("__place"))
     chunks = F.coalesce("__chunks", F.lit(1))
-    paired = spread.join(hot, ["__t", "__key"], "left").withColumn("__own", F.pmod(F.xxhash64("fp", F.lit(7)), chunks).cast("int"))
+    paired = spread.join(F.broadcast(full), ["__t", "__place"], "left").withColumn("__own", F.pmod(F.xxhash64("fp", F.lit(7)), chunks).cast("int"))
     paired = paired.withColumn("__other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    cell = F.xxhash64("__t", "__key", F.least("__own", "__other"), F.greatest("__own", "__other"))
+    cell = F.xxhash64("__name", F.least("__own", "__other"), F.greatest("__own", "__other"))
     return paired.select(*prints.columns, cell.alias("cell"))
