@@ -104,7 +104,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle_words: int = 4, se
     """
     prints = checkpoint(fingerprints(docs, shingle_words, seed))
     first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    labels = connected_components(close_links(prints.select("fp").distinct(), radius))
+    labels = connected_components(checkpoint(close_links(prints.select("fp").distinct(), radius)))
     known = first.join(labels.withColumnRenamed("id", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     smallest = known.groupBy("component").agg(F.min("first").alias("component_id"))
     by_print = known.join(smallest, "component").select("fp", "component_id")
