@@ -197,7 +197,8 @@ def diff_fee_changes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def channel_at(spark: SparkSession, d: str) -> DataFrame:
-    return _plain_edges(H.channel_at(X.channels(spark, d), X.updates(spark, d, spread=True), "7x27x0", T1))
+    first = X.table(spark, d, "orders").where("o_custkey = 7").agg(F.min("o_orderkey")).first()[0]
+    return _plain_edges(H.channel_at(X.channels(spark, d), X.updates(spark, d, spread=True), f"7x{(first or 0) % 100}x0", T1))
 
 
 def node_at(spark: SparkSession, d: str) -> DataFrame:
@@ -438,7 +439,7 @@ ORACLES = {
  UNION ALL SELECT node_id, FALSE, NULL, NULL FROM ends WHERE node_id NOT IN (SELECT node_id FROM ln)""",
     "diff_between": f"WITH {_u()}, {_N} SELECT 'node' AS kind, ord, timestamp FROM n WHERE timestamp > {O1} AND timestamp <= {T2} UNION ALL SELECT 'update', ord, timestamp FROM u WHERE timestamp > {O1} AND timestamp <= {T2}",
     "diff_fee_changes": f"WITH {_u()}, i AS (SELECT * FROM u WHERE timestamp > {T1} AND timestamp <= {T2}), {_FEES.format('i', 'scid')} SELECT {_COLS} FROM f {_CHANGED}",
-    "channel_at": f"WITH {_u(True)}, {_LATEST.format(f' WHERE timestamp <= {T1}')}, {_C}, {_E} SELECT {_ECOLS} FROM e WHERE scid = '7x27x0'",
+    "channel_at": f"WITH {_u(True)}, {_LATEST.format(f' WHERE timestamp <= {T1}')}, {_C}, {_E} SELECT {_ECOLS} FROM e WHERE scid = (SELECT '7x' || CAST(min(o_orderkey) % 100 AS VARCHAR) || 'x0' FROM orders WHERE o_custkey = 7)",
     "node_at": f"WITH {_N}, {_LN.format(f' WHERE timestamp <= {O2}')} SELECT ord, node_id, timestamp FROM ln WHERE node_id = {_HEX('7', 33, '03')}",
     "updates_asof": f"""WITH {_u()}, p AS (SELECT event_id, user_id, {_SEC('ts')} - 86400 AS probe_time FROM events), j AS (SELECT p.event_id, p.probe_time, u.ord, u.fee_base_msat,
  row_number() OVER (PARTITION BY p.event_id ORDER BY u.timestamp DESC NULLS LAST, u.ord) AS rn FROM p LEFT JOIN u ON u.user_id = p.user_id AND u.timestamp <= p.probe_time) SELECT event_id, probe_time, ord, fee_base_msat FROM j WHERE rn = 1""",
