@@ -151,3 +151,23 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[REDAC
         ),
     )
     return marked.withColumn("text", F.when(F.col("__cuts").isNull(), F.col("text")).otherwise(F.array_join(pieces, mask))).select(*docs.columns)
+
+
+def _oracle() -> str:
+    """The query in DuckDB SQL: the same places, from what lies between the matches."""
+    parts = []
+    for place, r in enumerate(RULES):
+        pattern = r.pattern.replace("(?<![0-9a-f])", "").replace("'", "''")  # a run of 32 or more begins where the run does
+        parts.append(
+            f"SELECT doc_id, '{r.kind}' AS kind, {place} AS place, {r.least} AS least, regexp_extract_all(text, '{pattern}') AS ms, regexp_extract_all(text, '{pattern}', {r.group}) AS gs,"
+            f" string_split_regex(text, '{pattern}') AS gaps FROM d WHERE regexp_matches(text, '{pattern}')"
+        )
+    ends = "list_sum(list_transform(gaps[1:i], lambda g: length(g))) + list_sum(list_transform(ms[1:i], lambda g: length(g)))"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), m AS ({" UNION ALL ".join(parts)}),
+h AS (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM m), s AS (SELECT doc_id, kind, place, CAST({ends} AS BIGINT) AS stop, length(ms[i]) AS size FROM h WHERE length(gs[i]) >= least),
+a AS (SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+ string_agg(kind || ':' || (stop - size) || ':' || stop, ',' ORDER BY stop - size, place, stop) FILTER (WHERE place < {len(BASE)}) AS base, string_agg(kind || ':' || (stop - size) || ':' || stop, ',' ORDER BY stop - size, place, stop) AS spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a ON a.doc_id = d.doc_id"""
+
+
+ORACLE = _oracle()
