@@ -24,9 +24,9 @@ from gossamer.sources.gossip import read_binary, register
 from gossamer.sources.sinks import graph_lines, save_graph
 from gossamer.streaming import gossip as S
 
-#: 2024-01-15 and 2024-01-20, in the middle of the events; 1996-06-30 and 1997-06-30 in the orders.
+#: 2024-01-15 and 2024-01-20, in the middle of the events; 1996-06-30 in the orders.
 T1, T2 = 1_705_276_800, 1_705_708_800
-O1, O2 = 836_092_800, 867_628_800
+O1 = 836_092_800
 
 _UPDATE = ["ord", "scid", "timestamp", "direction", "cltv_expiry_delta", "htlc_minimum_msat", "fee_base_msat", "fee_ppm", "htlc_maximum_msat"]
 
@@ -202,7 +202,8 @@ def channel_at(spark: SparkSession, d: str) -> DataFrame:
 
 
 def node_at(spark: SparkSession, d: str) -> DataFrame:
-    return H.node_at(X.nodes(spark, d), "03" + f"{7:064x}", O2).select("ord", B.hex_lower(F.col("node_id")).alias("node_id"), "timestamp")
+    first = X.table(spark, d, "orders").where("o_orderkey = 0").agg(F.min("o_custkey")).first()[0]
+    return H.node_at(X.nodes(spark, d), "03" + f"{first or 0:064x}", T1).select("ord", B.hex_lower(F.col("node_id")).alias("node_id"), "timestamp")
 
 
 def updates_asof(spark: SparkSession, d: str) -> DataFrame:
@@ -440,7 +441,7 @@ ORACLES = {
     "diff_between": f"WITH {_u()}, {_N} SELECT 'node' AS kind, ord, timestamp FROM n WHERE timestamp > {O1} AND timestamp <= {T2} UNION ALL SELECT 'update', ord, timestamp FROM u WHERE timestamp > {O1} AND timestamp <= {T2}",
     "diff_fee_changes": f"WITH {_u()}, i AS (SELECT * FROM u WHERE timestamp > {T1} AND timestamp <= {T2}), {_FEES.format('i', 'scid')} SELECT {_COLS} FROM f {_CHANGED}",
     "channel_at": f"WITH {_u(True)}, {_LATEST.format(f' WHERE timestamp <= {T1}')}, {_C}, {_E} SELECT {_ECOLS} FROM e WHERE scid = (SELECT '7x' || CAST(min(o_orderkey) % 100 AS VARCHAR) || 'x0' FROM orders WHERE o_custkey = 7)",
-    "node_at": f"WITH {_N}, {_LN.format(f' WHERE timestamp <= {O2}')} SELECT ord, node_id, timestamp FROM ln WHERE node_id = {_HEX('7', 33, '03')}",
+    "node_at": f"WITH {_N}, {_LN.format(f' WHERE timestamp <= {T1}')} SELECT ord, node_id, timestamp FROM ln WHERE node_id = (SELECT {_HEX('o_custkey', 33, '03')} FROM orders WHERE o_orderkey = 0)",
     "updates_asof": f"""WITH {_u()}, p AS (SELECT event_id, user_id, {_SEC('ts')} - 86400 AS probe_time FROM events), j AS (SELECT p.event_id, p.probe_time, u.ord, u.fee_base_msat,
  row_number() OVER (PARTITION BY p.event_id ORDER BY u.timestamp DESC NULLS LAST, u.ord) AS rn FROM p LEFT JOIN u ON u.user_id = p.user_id AND u.timestamp <= p.probe_time) SELECT event_id, probe_time, ord, fee_base_msat FROM j WHERE rn = 1""",
     "gossip_ids": "SELECT doc_id, sha256(coalesce(text, '')) AS gossip_id FROM documents",
