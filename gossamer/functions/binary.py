@@ -137,3 +137,9 @@ def gossip_id(message: Column) -> Column:
 def store_version(first: Column) -> Column:
     """The upper three bits of a store's version byte."""
     return F.shiftright(uint(first, 1, 1), 5).bitwiseAND(F.lit(7)).cast("int")
+
+
+def iso_time(seconds: Column) -> Column:
+    """Epoch seconds as ISO 8601 text in UTC, without a zone."""
+    whole = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'") + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
+    return F.date_format(whole, "yyyy-MM-dd'T'HH:mm:ss")

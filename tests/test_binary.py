@@ -100,3 +100,10 @@ def test_sql_functions(spark):
     assert (row.s, row.a, row.l, row.t, row.m) == ("700000x1234x1", "ab", "\x00ab", "Torv3", 258)
     rows = spark.sql("SELECT * FROM parse_addresses(X'017f0000012607')").collect()
     assert [tuple(r) for r in rows] == [(1, "IPv4", "127.0.0.1", 9735)]
+
+
+def test_iso_time(spark):
+    for zone in ("UTC", "America/New_York"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        assert one(spark, B.iso_time(F.lit(1_600_000_000).cast("long"))) == "2020-09-13T12:26:40"
+    spark.conf.set("spark.sql.session.timeZone", "UTC")

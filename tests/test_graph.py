@@ -209,3 +209,21 @@ def test_fee_stream_equals_batch(spark, tmp_path):
     q.awaitTermination()
     got = {r.ord for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {r.ord for r in H.fee_changes(u).collect()}
+
+
+def test_windowed_streams(spark, tmp_path):
+    rows = [(f"id{i % 4}", f"peer{i % 3}", "channel_update", 1_600_000_000 + 600 * i) for i in range(24)] + [("last", "peer0", "channel_update", 1_600_900_000)]
+    for n, part in enumerate((rows[:12], rows[12:-1], rows[-1:])):
+        spark.createDataFrame(part, "id string, sender string, kind string, timestamp long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"{n}"))
+    files = spark.read.parquet(str(tmp_path / "in" / "*"))
+    stream = lambda: S.event_time(spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*")))
+
+    def drained(df, name):
+        df.writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / (name + "-m"))).trigger(availableNow=True).start().awaitTermination()
+        return spark.read.parquet(str(tmp_path / name)).collect()
+
+    counts = drained(S.activity(stream(), late="6 hours"), "counts")
+    assert sum(r.messages for r in counts) == 24 and max(r.messages for r in counts) == 6
+    seen = drained(S.peers(stream(), late="6 hours", width="1 day"), "peers")
+    assert {r.id for r in seen} == {f"id{i}" for i in range(4)} and sum(len(r.times) for r in seen) == 24
+    assert {r.id for r in drained(S.deduplicated(stream(), late="30 days", key="id").select("id"), "dedup")} == {"id0", "id1", "id2", "id3", "last"}
