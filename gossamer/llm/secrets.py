@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gossamer.checkpoints import written
 from gossamer.llm.common import table
 
 
@@ -116,7 +117,8 @@ def find_secrets(docs: DataFrame, ledger: DataFrame | None = None, findings: Dat
     _, found = scan(docs.select("text"), ledger, findings, rules)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), blob_of(F.col("text").cast("string")).alias("blob"))
     none = F.array().cast("array<struct<start:bigint,place:int,end:bigint,kind:string>>")
-    return own.join(by_blob(found, rules), "blob", "left").select("doc_id", "blob", F.coalesce("marks", none).alias("marks"))
+    # Written first, so that the join deals both sides anew and a blob with very many paths can be split.
+    return own.join(written(by_blob(found, rules), "findings"), "blob", "left").select("doc_id", "blob", F.coalesce("marks", none).alias("marks"))
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +141,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[REDAC
     first = F.coalesce(F.col("start") > F.max("end").over(reach), F.lit(True))
     run = F.sum(F.when(first, 1).otherwise(0)).over(Window.partitionBy("blob").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0))
     merged = found.withColumn("run", run).groupBy("blob", "run").agg(F.min("start").alias("a"), F.max("end").alias("b"))
-    cuts = merged.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("__cuts"))
+    cuts = written(merged.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("__cuts")), "cuts")
     marked = docs.withColumn("__blob", blob_of(F.col("text").cast("string"))).join(cuts.withColumnRenamed("blob", "__blob"), "__blob", "left")
     at = lambda i: F.element_at("__cuts", i)
     pieces = F.transform(
