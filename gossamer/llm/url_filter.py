@@ -114,7 +114,8 @@ def filter_urls(
     hosts = hosts.groupBy("host").agg(F.max("allowed").alias("allowed"))
     trusted = F.col("allowed") | F.col("host").isin(*trusted_hosts) if trusted_hosts else F.col("allowed")
     seeds = hosts.select("host", F.when(bad, 1).when(trusted, 0).alias("kind"), F.lit(1.0).alias("weight")).where("kind is not null")
-    scores = propagate(checkpoint(links), seeds)
+    # Checkpointed, so that the join deals both sides anew and a host with very many pages can be split.
+    scores = checkpoint(propagate(checkpoint(links), seeds))
     out = ruled.select("page_id", "host", "path", "by").join(scores, "host", "left")
     blocked = (F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust"))
     return out.select(
