@@ -168,9 +168,14 @@ def links(prints: np.ndarray, group: np.ndarray, radius: int) -> list[tuple[int,
     small = np.repeat(sizes <= SMALL, sizes)
     at = np.flatnonzero(small)
     if len(at):
-        own = Groups(len(at))
+        label = np.arange(len(at))  # kept flat, so that pairs already joined are told apart all at once
         for i, j in shifted_pairs(prints[at], group[at], radius):
-            out.extend((int(at[x]), int(at[y])) for x, y in zip(i.tolist(), j.tolist()) if own.join(x, y))
+            apart = label[i] != label[j]
+            for x, y in zip(i[apart].tolist(), j[apart].tolist()):
+                a, b = label[x], label[y]
+                if a != b:
+                    label[label == max(a, b)] = min(a, b)
+                    out.append((int(at[x]), int(at[y])))
     for start, size in zip(edge[:-1][sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
         out.extend((start + i, start + j) for i, j in frontier_links(prints[start : start + size], radius))
     return out
