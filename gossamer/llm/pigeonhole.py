@@ -33,7 +33,12 @@ def cells(prints: DataFrame, n: int, radius: int, chunk_rows: int = CHUNK_ROWS)
     ``cell`` hash, which costs comparisons and loses nothing.
     """
     tables = [F.struct(F.lit(t).alias("t"), _key(F.col("fp"), parts).alias("key")) for t, parts in enumerate(scheme(n, radius))]
-    at = F.explode(F.array(*tables)).alias("__at")
+    return keyed_cells(prints, F.array(*tables), n, chunk_rows)
+
+
+def keyed_cells(prints: DataFrame, tables: Column, n: int, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """The same for keys of any kind: ``tables`` is an array of structs of a table ``t`` and a long ``key`` in it."""
+    at = F.explode(tables).alias("__at")
     name = F.xxhash64("__at.t", "__at.key")
     full = (
         prints.select(at).groupBy(F.col("__at.t").alias("__t"), F.pmod(name, F.lit(PLACES)).alias("__place"))
