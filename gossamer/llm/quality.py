@@ -26,14 +26,16 @@ SYMBOLS = re.compile(r"[#*$%&|<>]")
 class Bands:
     """Limits on the ratio. Each band: (length in bytes up to which it holds, lowest ratio, highest ratio).
 
-    Short texts hardly compress at all, so their lower limits are loose; long ones share more with themselves, so their upper
-    limits are wider.
+    ``lowest`` are (length in bytes, lowest ratio) between random printable words and prose of that length, met by straight lines
+    between them; the greater of it and of the band's own holds. Up to 60 bytes the two do not differ, and random lower-case words
+    differ from prose from 1,500 bytes on only. Long texts share more with themselves, so their upper limits are wider.
     """
 
     level: int = 3
     whole: tuple[tuple[float, float, float], ...] = ((100, 0.0, 2.2), (300, 0.5, 2.4), (1_000, 0.9, 2.6), (4_000, 1.2, 2.9), (16_000, 1.4, 3.2), (float("inf"), 1.5, 3.6))
+    lowest: tuple[tuple[float, float], ...] = ((60, 0.0), (100, 0.953), (200, 1.14), (300, 1.2), (500, 1.32), (1_000, 1.5), (1_500, 1.67), (2_000, 1.71), (3_000, 1.75), (4_000, 1.77))
     chunk_bytes: int = 4_096
-    chunk: tuple[float, float] = (1.2, 4.5)
+    chunk: tuple[float, float] = (1.77, 4.5)
     #: Share of a text's chunks that may leave the chunk band.
     chunk_share: float = 0.25
 
@@ -50,6 +52,7 @@ def ratios(data: bytes, bands: Bands, compressor: zstandard.ZstdCompressor) -> t
 def verdict(n_bytes: int, whole: float, chunks: list[float], bands: Bands) -> str:
     """``fine``, ``repetitive`` or ``incompressible``."""
     low, high = next((low, high) for most, low, high in bands.whole if n_bytes <= most)
+    low = max(low, float(np.interp(n_bytes, *zip(*bands.lowest))))
     if whole > high:
         return "repetitive"
     if n_bytes and whole < low:
