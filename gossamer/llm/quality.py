@@ -41,11 +41,13 @@ class Bands:
 
 
 def ratios(data: bytes, bands: Bands, compressor: zstandard.ZstdCompressor) -> tuple[float, list[float]]:
-    """The ratio of the whole and of each full chunk; an empty text has ratio 1."""
+    """The ratio of the whole and of each chunk of a text longer than one; the last chunk ends where the text ends and may reach back
+    into the one before it. An empty text has ratio 1."""
     if not data:
         return 1.0, []
     size = bands.chunk_bytes
-    parts = [data[i : i + size] for i in range(0, len(data) - size + 1, size)] if len(data) >= 2 * size else []
+    starts = [*range(0, len(data) - size, size), len(data) - size] if len(data) > size else []
+    parts = [data[i : i + size] for i in starts]
     return len(data) / len(compressor.compress(data)), [size / len(compressor.compress(p)) for p in parts]
 
 
