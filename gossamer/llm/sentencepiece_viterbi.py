@@ -3,7 +3,7 @@
 The lattice over a text's characters has an arc for every piece of the vocabulary. Its model is byte-pair
 merging, so an arc may follow another only where merging the two pieces' text gives back the same two pieces; under that
 rule exactly one path reaches each boundary, and it is the merging's own result. The pass keeps back
-pointers for one window of the longest piece, and commits ids as soon as the paths to all open boundaries share one.
+pointers for a few windows of the longest piece, and commits ids where the paths to all open boundaries share one.
 """
 
 from __future__ import annotations
@@ -11,8 +11,10 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from bisect import insort
 from collections.abc import Callable, Iterable, Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -43,10 +45,17 @@ class Pieces:
         self.longest = max(map(len, self.ids))
         #: A blank behind another character begins a piece always, as does a character of no longer piece.
         self.words_stand_alone = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
-        #: Pieces that merging can make at all, and what is known of which piece may follow which.
-        self.standing = {p for p in self.ids if len(p) == 1 or self.merged(p) == [p]}
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.begin = {p[:n] for p in self.standing for n in range(1, len(p) + 1)}
+        #: Pieces that merging can make at all, the automaton that finds them in a text, and which piece may follow which.
+        self.automaton = ahocorasick.Automaton()
+        for piece, i in self.ids.items():
+            if len(piece) == 1 or self.merged(piece) == [piece]:
+                self.automaton.add_word(piece, (len(piece), i))
+        self.automaton.make_automaton()
+        self.lengths = [len(n) for n in self.names]
+        #: Stands before the first piece.
+        self.start = -1
+        self.follows = _Follows(self)
+        self.packed = _Packed(self)
 
     def merged(self, text: str) -> list[str]:
         """The pieces of a short text by merging its best pair, the leftmost of equals, again and again."""
@@ -58,76 +67,102 @@ class Pieces:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def follows(self, left: str, right: str) -> bool:
-        if len(self.pairs) > 1_000_000:
-            self.pairs.clear()
-        found = self.pairs[left, right] = self.merged(left + right) == [left, right]
-        return found
+    def ids_of(self, piece: int) -> list[int]:
+        """The id of a piece; the ids of the bytes of a character that is none."""
+        return [piece] if piece >= 0 else [self.bytes_ids[b] for b in chr(-1 - piece).encode("utf-8", "replace")]
 
-    def id_of(self, piece: str) -> list[int]:
-        found = self.ids.get(piece)
-        return [found] if found is not None else [self.bytes_ids[b] for b in piece.encode("utf-8", "replace")]
+
+class _Follows(dict):
+    """Whether merging the text of two pieces (left * size + right) gives the two back; remembered."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+
+    def __missing__(self, pair: int) -> bool:
+        if len(self) > 1_000_000:
+            self.clear()
+        left, right = (self.pieces.names[i] for i in divmod(pair, self.pieces.size))
+        self[pair] = out = self.pieces.merged(left + right) == [left, right]
+        return out
+
+
+class _Packed(dict):
+    """The ids of a piece, or of a character that is none, as little-endian bytes; remembered."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+
+    def __missing__(self, piece: int) -> bytes:
+        self[piece] = out = np.array(self.pieces.ids_of(piece), dtype="<u4").tobytes()
+        return out
 
 
 class StreamingViterbi:
-    """Feeds on text piecemeal and gives pieces as they become certain; holds about two windows of characters."""
+    """Feeds on text piecemeal and gives pieces as they become certain, as ids, or as ``-1 - code point`` for a character that is no piece.
+
+    The lattice's arcs come from one automaton over all pieces. What is kept is a back pointer (the piece that ends there) for each boundary
+    since the last one that all paths share, ``STEP + 1`` windows or little more, and a window of text to find pieces across parts.
+    """
+
+    #: Windows of text after which the surviving paths are followed back to the boundary they share.
+    STEP = 4
 
     def __init__(self, pieces: Pieces):
         self.pieces, self.longest = pieces, pieces.longest
-        self.text, self.base = "", 0  # uncommitted text and the place of its first character
-        self.back: list[str] = [""]  # the piece that ends at each open boundary; the first is committed
-        self.open: list[int] = []  # where pieces that may still grow begin
-
-    def feed(self, text: str) -> Iterator[str]:
-        begin, standing, pairs, back = self.pieces.begin, self.pieces.standing, self.pieces.pairs, self.back
-        for char in text:
-            self.text = own = self.text + char
-            end = len(own)
-            self.open.append(end - 1)
-            growing, arrived = [], False
-            for start in self.open:
-                piece = own[start:end]
-                if piece in begin:
-                    growing.append(start)
-                elif start < end - 1:
-                    continue
-                # a single character stands even where it is no piece, as its bytes
-                if not arrived and (piece in standing or start == end - 1):
-                    left = back[start]
-                    arrived = not left or pairs.get((left, piece))
-                    if arrived is None:
-                        arrived = self.pieces.follows(left, piece)
-                    if arrived:
-                        back.append(piece)
-            self.open = growing
-            if not arrived:
-                raise AssertionError("no path to a boundary")
-            if end >= 2 * self.longest:
-                yield from self._commit(self._shared())
+        self.tail = ""
+        self.back: list[int] = [pieces.start]  # the first is of the boundary that is committed
+
+    def feed(self, text: str) -> Iterator[list[int]]:
+        """Pieces that have become certain, some at a time."""
+        back, follows, size, most = self.back, self.pieces.follows, self.pieces.size, (self.STEP + 1) * self.longest
+        text, n = self.tail + text, len(back)
+        shift = len(self.tail) - n  # of a boundary's number to the place of the character behind it, less one
+        for last, (length, piece) in self.pieces.automaton.iter(text):
+            end = last - shift
+            if end < n:
+                continue  # one path reaches each boundary, and it is found
+            if end > n:
+                back.extend(-1 - ord(c) for c in text[n + shift : last])
+                n = end
+            # a piece behind another one stands only where merging the two leaves both; beside a character that is no piece it always does
+            left = back[end - length]
+            if left < 0 or follows[left * size + piece]:
+                back.append(piece)
+                n += 1
+                if n > most:
+                    at = self._shared()
+                    yield self._commit(at)
+                    shift, n = shift + at, n - at
+        for at in range(n + shift, len(text), most):
+            back.extend(-1 - ord(c) for c in text[at : at + most])
+            yield self._commit(self._shared())
+        self.tail = text[1 - self.longest :]
 
     def _shared(self) -> int:
         """The last boundary on the paths to all boundaries that a further piece can begin at."""
-        end = len(self.back) - 1
-        open_ = set(range(max(0, end - self.longest + 1), end + 1))
+        back, lengths = self.back, self.pieces.lengths
+        open_ = list(range(max(0, len(back) - self.longest), len(back)))
         while len(open_) > 1:
-            last = max(open_)
-            open_.remove(last)
-            open_.add(last - len(self.back[last]))
-        return open_.pop()
-
-    def _commit(self, at: int) -> list[str]:
-        out, place = [], at
+            last = open_.pop()
+            before = last - (1 if back[last] < 0 else lengths[back[last]])
+            if before < open_[0]:
+                open_.insert(0, before)
+            elif before not in open_:
+                insort(open_, before)
+        return open_[0]
+
+    def _commit(self, at: int) -> list[int]:
+        out, place, back, lengths = [], at, self.back, self.pieces.lengths
         while place > 0:
-            out.append(self.back[place])
-            place -= len(self.back[place])
+            piece = back[place]
+            out.append(piece)
+            place -= 1 if piece < 0 else lengths[piece]
         if at:
             # what stays before the boundary is its last piece, as the next one must follow it
-            self.text = self.text[at:]
-            del self.back[:at]
-            self.open = [x - at for x in self.open if x >= at]
+            del back[:at]
         return out[::-1]
 
-    def finish(self) -> list[str]:
+    def finish(self) -> list[int]:
         return self._commit(len(self.back) - 1)
 
 
@@ -139,22 +174,37 @@ class Codec:
         self.known: dict[str, bytes] = {}  # in two generations
         self.before: dict[str, bytes] = {}
 
-    def stream(self, parts: Iterable[str]) -> Iterator[int]:
-        """Ids of a text that comes in parts, however long it is."""
+    def _pass(self, parts: Iterable[str]) -> Iterator[list[int]]:
         viterbi = StreamingViterbi(self.pieces)
-        first = True
         for part in parts:
-            if first and part:
-                part, first = " " + part, False
-            for piece in viterbi.feed(part.replace(" ", SPACE)):
-                yield from self.pieces.id_of(piece)
-        for piece in viterbi.finish():
-            yield from self.pieces.id_of(piece)
-
-    def _ids(self, text: str) -> bytes:
-        viterbi = StreamingViterbi(self.pieces)
-        found = [*viterbi.feed(text), *viterbi.finish()]
-        return np.array([i for p in found for i in self.pieces.id_of(p)], dtype="<u4").tobytes()
+            yield from viterbi.feed(part)
+        yield viterbi.finish()
+
+    def stream(self, parts: Iterable[str]) -> Iterator[int]:
+        """Ids of a text that comes in parts, however long it is."""
+
+        def marked() -> Iterator[str]:
+            first = True
+            for part in parts:
+                if part:
+                    yield (" " + part if first else part).replace(" ", SPACE)
+                    first = False
+
+        for found in self._pass(marked()):
+            for piece in found:
+                yield from self.pieces.ids_of(piece)
+
+    def _learn(self, words: list[str]) -> None:
+        """Remember the ids of words, by one pass over them all. Line ends, which are in no piece, keep them apart."""
+        ids, own, at, end = self.pieces.packed, [], 0, -1 - ord("\n")
+        for found in self._pass(["\n".join(words)]):
+            for piece in found:
+                if piece == end:
+                    self.known[words[at]] = b"".join(own)
+                    own, at = [], at + 1
+                else:
+                    own.append(ids[piece])
+        self.known[words[at]] = b"".join(own)
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids. All paths meet where a word begins and around line ends, so words are remembered."""
@@ -162,7 +212,7 @@ class Codec:
             return b""
         text = SPACE + text.replace(" ", SPACE)
         if not self.pieces.words_stand_alone:
-            return self._ids(text)
+            return b"".join(self.pieces.packed[piece] for found in self._pass([text]) for piece in found)
         words = _WORDS.findall(text)
         known = self.known
         try:
@@ -171,9 +221,16 @@ class Codec:
             if len(known) > REMEMBERED:
                 self.before, self.known = known, {}
                 known = self.known
-            for word in words:
+            known["\n"] = self.pieces.packed[-1 - ord("\n")]
+            unseen = []
+            for word in dict.fromkeys(words):
                 if word not in known:
-                    known[word] = self.before.get(word) or self._ids(word)
+                    if (held := self.before.get(word)) is not None:
+                        known[word] = held
+                    else:
+                        unseen.append(word)
+            if unseen:
+                self._learn(unseen)
             return b"".join(map(known.__getitem__, words))
 
     def decode(self, ids: Iterable[int]) -> str:
@@ -233,18 +290,17 @@ def decode(encoded: DataFrame, make: Callable[[], Codec] | None = None) -> DataF
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, n_ids, ids_crc32, decoded_sha256): the ids of every text, and the text that they decode to."""
+    """(doc_id, n_ids, ids_crc32, decoded_sha256): the ids of every text, and the text that they decode to. Null texts count as empty."""
     make = piece_bpe()
-    fields = [("doc_id", pa.int64()), ("n_ids", pa.int64()), ("ids_crc32", pa.int64()), ("decoded_sha256", pa.string())]
-    schema = pa.schema(fields)
+    schema = pa.schema([("doc_id", pa.int64()), ("n_ids", pa.int64()), ("ids_crc32", pa.int64()), ("decoded_sha256", pa.string())])
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = make()
-        for ids, coded in slices(batches):
-            coded = [c or b"" for c in coded]
-            texts = [codec.decode(np.frombuffer(c, dtype="<u4").tolist()) for c in coded]
+        for ids, texts in slices(batches):
+            coded = [codec.encode(t or "") for t in texts]
+            decoded = [codec.decode(np.frombuffer(c, dtype="<u4").tolist()) for c in coded]
             yield record_batch(
-                schema, [ids, [len(c) // 4 for c in coded], [zlib.crc32(c) for c in coded], [hashlib.sha256(t.encode()).hexdigest() for t in texts]]
+                schema, [ids, [len(c) // 4 for c in coded], [zlib.crc32(c) for c in coded], [hashlib.sha256(t.encode()).hexdigest() for t in decoded]]
             )
 
-    return encode(table(spark, sf_dir, "documents"), make).mapInArrow(digest, "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string")
+    return id_text(table(spark, sf_dir, "documents")).mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string")

@@ -222,12 +222,19 @@ def test_pieces_are_those_of_the_library(codec):
 
 def test_the_window_is_bounded(codec):
     viterbi = StreamingViterbi(codec.pieces)
-    most = 0
-    for _ in range(3000):
-        for _ in viterbi.feed("▁the"):
-            pass
-        most = max(most, len(viterbi.text))
-    assert most <= 3 * codec.pieces.longest
+    most, most_back = (viterbi.STEP + 2) * codec.pieces.longest, 0
+    for part in ["▁the"] * 3000 + ["x" * 100_000, "▁" * 50_000, "ab" * 50_000, "é漢😀" * 20_000]:
+        for _ in viterbi.feed(part):
+            most_back = max(most_back, len(viterbi.back))
+    assert most_back <= most
+
+
+def test_one_line_of_megabytes_in_one_pass(codec):
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    rng = np.random.default_rng(7)
+    line = "".join(rng.choice(list("abcdefgh0123456789+/=éß漢"), 1_500_000))
+    parts = [line[i : i + 9_973] for i in range(0, len(line), 9_973)]
+    assert list(codec.stream(parts)) == np.frombuffer(codec.encode(line), "<u4").tolist() == model.encode(line)
 
 
 def test_encode_and_decode(edges, nothing):
