@@ -10,6 +10,7 @@ items of each length, salted so that a hot length spreads, and the rank decides
 from __future__ import annotations
 
 import base64
+import json
 import re
 import struct
 import zlib
@@ -39,10 +40,11 @@ class Encoder:
 
     The pre-tokenizer never joins what stands on both sides of a single blank between other characters, so the ids of
     the part that such a blank begins depend on that part alone and are remembered, in two generations. Runs of white
-    space stay inside a part. Merging by the ranks of the vocabulary gives the ids that its merge list gives.
+    space stay inside a part. Merging by the ranks of the vocabulary gives the ids that its merge list gives. ``added`` are strings that
+    have an id as they stand, and that part a text before anything else; the longest one wins where several begin.
     """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, added: dict[str, int] | None = None):
         import tiktoken
 
         with open(path, "rb") as lines:
@@ -50,12 +52,20 @@ class Encoder:
         self.encode = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
+        self.added = {token: struct.pack("<I", i) for token, i in (added or {}).items()}
+        self.parting = re.compile(f"({'|'.join(map(re.escape, sorted(self.added, key=len, reverse=True)))})") if self.added else None
 
     def _encode(self, text: str) -> bytes:
         ids = self.encode(text)
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def __call__(self, text: str) -> bytes:
+        if self.parting and self.parting.search(text):
+            return b"".join(self.added.get(part) or self.plain(part) for part in self.parting.split(text) if part)
+        return self.plain(text)
+
+    def plain(self, text: str) -> bytes:
+        """Ids of a text without added strings."""
         parts = _ALONE.split(text) if _RUN.search(text) else text.split(" ")
         first, rest = parts[0], parts[1:]
         known = self.known
@@ -72,13 +82,17 @@ class Encoder:
         return self._encode(first) + tail
 
 
-def byte_bpe(path: str | None = None, pattern: str | None = None) -> Callable[[], Encoder]:
-    """Makes the encoder on a worker; vocabulary file and pattern are found there by name if none are given."""
+def byte_bpe(path: str | None = None, pattern: str | None = None, added: dict[str, int] | None = None) -> Callable[[], Encoder]:
+    """Makes the encoder on a worker. Vocabulary file, pattern and added strings are those of ``byte_bpe_50k`` there if none are given."""
 
     def make() -> Encoder:
         import public_tokenizers as known
 
-        return Encoder(path or known.path("byte_bpe_50k.tiktoken"), pattern or known.PATTERN)
+        own = added
+        if own is None:
+            with open(known.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+                own = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+        return Encoder(path or known.path("byte_bpe_50k.tiktoken"), pattern or known.PATTERN, own)
 
     return make
 
@@ -212,4 +226,5 @@ def pack(docs: DataFrame, make: Callable[[], Encoder] | None = None, key: str =
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document and its place, with the ids of byte_bpe_50k. Null texts count as empty; repeated rows are packed each."""
     return pack(table(spark, sf_dir, "documents")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

@@ -38,9 +38,9 @@ def odd_texts(n=300):
 
 def test_ids_are_those_of_the_tokenizer():
     reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    reference.encode_special_tokens = True
     encoder = byte_bpe()()
-    for t in odd_texts() + [t for _, t in varied(30)]:
+    marked = ["<|endoftext|>", "a<|endoftext|>b", " <|endoftext|>  y<|endoftext|><|endoftext|>\n", "<|endoftext|", "<|endoftext|>>", "a <|endoftext|> b c"]
+    for t in marked + odd_texts() + [t for _, t in varied(30)]:
         assert np.frombuffer(encoder(t), "<u4").tolist() == reference.encode(t, add_special_tokens=False).ids, t
 
 
