@@ -83,16 +83,18 @@ class Encoder:
 
 
 def byte_bpe(path: str | None = None, pattern: str | None = None, added: dict[str, int] | None = None) -> Callable[[], Encoder]:
-    """Makes the encoder on a worker. Vocabulary file, pattern and added strings are those of ``byte_bpe_50k`` there if none are given."""
+    """Makes the encoder on a worker. Vocabulary file, pattern and added strings are those of ``byte_bpe_50k`` if none are given; the added
+    ones are read here, once, and the file is found on the worker by its name."""
+    if added is None:
+        import public_tokenizers
+
+        with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+            added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
 
     def make() -> Encoder:
         import public_tokenizers as known
 
-        own = added
-        if own is None:
-            with open(known.path("byte_bpe_50k.json"), encoding="utf-8") as f:
-                own = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
-        return Encoder(path or known.path("byte_bpe_50k.tiktoken"), pattern or known.PATTERN, own)
+        return Encoder(path or known.path("byte_bpe_50k.tiktoken"), pattern or known.PATTERN, added)
 
     return make
 
