@@ -172,15 +172,54 @@ def test_quality(spark, edges, nothing):
 # -- fingerprints --------------------------------------------------------------------------------------------------------------
 
 
-def test_difference_is_recovered():
+def brute_digests(text):
+    """The set of digests of one text, a word at a time."""
+    import xxhash
+
+    mask = 2**64 - 1
+
+    def mixed(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    seen, out = collections.Counter(), set()
+    for line in text.encode().split(b"\n"):
+        part = []
+        words = line.split()
+        for i, word in enumerate(words):
+            part.append(xxhash.xxh64_intdigest(word))
+            if part[-1] % iblt.CUT_EVERY == 0 or i == len(words) - 1:
+                total = sum(mixed(h + k * 0x9E3779B97F4A7C15 & mask) for k, h in enumerate(part)) & mask
+                key = mixed(total + len(part) & mask)
+                nth, part = seen[key], []
+                seen[key] += 1
+                out.add(mixed(key + nth * 0xD6E8FEB86659FD93 & mask) if nth else key)
+    return out
+
+
+def test_differences_come_out_of_the_strings():
     rng = random.Random(10)
-    for n, m, shared in ((0, 0, 0), (1, 0, 0), (5, 5, 200), (300, 1, 10), (200, 300, 400), (0, 0, 50)):
-        common, a, b = ({rng.getrandbits(64) for _ in range(k)} for k in (shared, n, m))
-        keys = lambda s: iblt.Keys(np.array(sorted(s), dtype=np.uint64))
-        left, right = iblt.difference(keys(common | a), keys(common | b))
-        assert set(left.tolist()) == a and set(right.tolist()) == b
-        total = len(common | a | b)
-        assert iblt.likeness(keys(common | a), keys(common | b)) == pytest.approx(1.0 if not total else len(common) / total)
+    words = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    shared = words(2000)
+    pairs = [("", ""), ("a b", ""), (shared, shared), (shared, words(2000)), (shared + words(40), words(300) + shared), (words(30), words(4000)), ("x " * 5000, "x " * 4990), ("a\n" * 300, "a\n" * 10)]
+    for x, y in pairs + [(t, u) for (_, t), (_, u) in zip(varied(40), varied(40, 9))]:
+        left, right = iblt.difference(iblt.fingerprint(x), iblt.fingerprint(y))
+        a, b = brute_digests(x), brute_digests(y)
+        assert set(left.tolist()) == a - b and set(right.tolist()) == b - a
+        assert iblt.likeness(iblt.fingerprint(x), iblt.fingerprint(y)) == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0)
+
+
+def test_sketches_that_do_not_peel_are_made_larger():
+    keys = np.arange(1, 2001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    owner = np.zeros(len(keys), dtype=np.int64)
+    assert not iblt.Cells.of(keys, owner, np.array([600])).peel()[3][0]
+    found, _, sign, apart = iblt.Cells.of(keys, owner, np.array([1024])).peel()
+    assert apart[0] and (sign == 1).all() and np.array_equal(np.sort(found), np.sort(keys))
+    sizes = [2]
+    while sizes[-1] < 100:
+        sizes.append(int(iblt.larger(np.array([sizes[-1]]))[0]))
+    assert sizes == [2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128] and set(iblt.least_third(np.arange(200)).tolist()) < set(sizes)
 
 
 def test_versions(spark, edges, nothing):
@@ -194,14 +233,18 @@ def test_versions(spark, edges, nothing):
         t, nxt = texts[r.doc_id], following[r.doc_id][1]
         new = t[: len(t) - len(t) // 3] + nxt[: len(t) // 3]
         assert r.edited_sha256 == hashlib.sha256(new.encode()).hexdigest() and r.n_chars == len(t)
-        own, other, after = (set(iblt.digests(x).keys.tolist()) for x in (t, new, nxt))
+        own, other, after = (brute_digests(x) for x in (t, new, nxt))
         assert r.near_edited == pytest.approx(len(own & other) / len(own | other)) and r.near_next == pytest.approx(len(own & after) / len(own | after))
+        assert r.near_edited == iblt.likeness(r.fingerprint, r.edited_fingerprint) and r.near_next == iblt.likeness(r.fingerprint, iblt.fingerprint(nxt))
         by_text[t].add(r.fingerprint)
     assert len(iblt_rows) == len(rows) and all(len(x) == 1 for x in by_text.values())
     got = iblt.compare_versions(edges).collect()
     assert len(got) == 16 and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got) and iblt.compare_versions(nothing).count() == 0
     alone = iblt.compare_versions(spark.createDataFrame([(3, "only one document here")], "doc_id long, text string")).first()
     assert alone.near_next == 1.0
+    for n in (1, 2, 3):
+        nameless = spark.createDataFrame([(None, f"a text without an id {i}") for i in range(n)], "doc_id long, text string")
+        assert sorted(r.n_chars for r in iblt.compare_versions(nameless).collect()) == [22] * n
 
 
 # -- SentencePiece -------------------------------------------------------------------------------------------------------------
