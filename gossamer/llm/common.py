@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,24 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield part.column(0), part.column(1).to_pylist()
 
 
+def text_batches(batches: Iterator[pa.RecordBatch], column: str, chars: int = 1 << 20, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Slices of batches with about so many bytes of text, or one row; a batch without rows gives none."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes.astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            to = min(max(int(np.searchsorted(ends, before + chars, side="right")), at + 1), at + rows)
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def quoted(name: str) -> str:
+    """A column's name as it stands, dots and backticks included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def record_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gossamer.llm.common import id_text, record_batch, slices, table
-from gossamer.llm.words import lines_of, mixed, words_of
+from gossamer.llm.words import lines_of, mixed, spans, words_of
 
 #: A long line is cut after a word whose hash is 0 modulo this, so about so many words on average.
 CUT_EVERY = 8
@@ -64,12 +64,6 @@ def digests(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return keys[new], owner[new]
 
 
-def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The numbers from each start on, as many as its size says."""
-    ends = np.cumsum(sizes)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
-
-
 def least_third(n: np.ndarray) -> np.ndarray:
     """The first third of a sketch of n digests: 2, 3, 4, 6, 8, 12 and so on, with CELLS_PER_DIGEST cells for each digest and six more."""
     need = np.maximum(n * CELLS_PER_DIGEST / 3 + 2, 2.0)
@@ -115,7 +109,7 @@ class Cells:
         return out
 
     def pick(self, which: np.ndarray) -> np.ndarray:
-        return _spans(self.base[which], 3 * self.third[which])
+        return spans(self.base[which], 3 * self.third[which])
 
     def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(digests, owners, signs, mask of the sketches that came apart). Empties the cells."""
@@ -193,7 +187,7 @@ class Fingerprints:
         to.checks[a] += self.cells.checks[b] if sign > 0 else -self.cells.checks[b]
         other = np.flatnonzero(self.cells.third[which] != to.third)
         sizes = (self.starts[1:] - self.starts[:-1])[which[other]]
-        to.put(self.keys[_spans(self.starts[which[other]], sizes)], np.repeat(other, sizes), np.full(sizes.sum(), sign, dtype=np.int64))
+        to.put(self.keys[spans(self.starts[which[other]], sizes)], np.repeat(other, sizes), np.full(sizes.sum(), sign, dtype=np.int64))
 
     def apart_by(self, left: np.ndarray, right: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """(only on the left, only on the right) for each pair of places: subtract, peel, and retry larger what stays."""

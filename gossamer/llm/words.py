@@ -20,7 +20,13 @@ class _Hashes(dict):
         return out
 
 
-_HASHES = _Hashes()
+HASHES = _Hashes()
+
+
+def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size says."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -43,8 +49,8 @@ def words_of(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Ar
     coded = split.flatten().dictionary_encode()
     number = coded.indices.to_numpy()
     words = coded.dictionary
-    names = words.to_pylist()
-    hashes = np.fromiter(map(_HASHES.__getitem__, names), dtype=np.uint64, count=len(names))
+    names = words.to_numpy(zero_copy_only=False).tolist()
+    hashes = np.fromiter(map(HASHES.__getitem__, names), dtype=np.uint64, count=len(names))
     if "" in names:  # what stands before white space at an end
         kept = number != names.index("")
         own, number = own[kept], number[kept]

@@ -1,13 +1,15 @@
 """SimHash, line dedup and what they share, against brute force."""
 
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
 from gossamer.llm.bitslice import frontier_links, links, neighbours, planes_of, scheme, shifted_pairs
-from gossamer.llm.line_dedup import LinePrints, _lines, dedup_lines, edit_distance, normalised, repeated_lines
+from gossamer.llm.line_dedup import Lines, dedup_lines, edit_distance, normalised, repeated_lines
 from gossamer.llm.pigeonhole import cells
 from gossamer.llm.simhash import fingerprint, keep_first, near_duplicates
 
@@ -140,21 +142,47 @@ def test_normalised():
     assert normalised("  The CAT, sat on 12 mats!! ") == "the cat sat on 0 mats" and normalised("") == "" and normalised("ABC") == "abc"
 
 
-def brute_lines(rows, radius=4, least=0.8):
-    seen = [(i, n, line) for i, t in sorted(rows) for n, line in _lines(t, 5)]
+def plain_form(line):
+    """The normal form of a line, by regular expressions on the whole of it."""
+    line = re.sub(r"([\u3040-\u30ff\u3400-\u9fff])", r" \1 ", re.sub(r"\d+", "0", re.sub(r"\W+", " ", line.lower())))
+    return " ".join(line.split())
+
+
+def similar_lines(a, b, least):
+    return abs(len(a) - len(b)) <= (1 - least) * max(len(a), len(b)) + 1e-9 and levenshtein(a, b) <= (1 - least) * max(len(a), len(b)) + 1e-9
+
+
+def brute_lines(rows, least=0.8, alike=similar_lines):
+    """Every pair of distinct lines of five words or more by edit similarity alone."""
+    seen = [(i, n, plain_form(line)) for i, t in sorted(rows) for n, line in enumerate(t.split("\n")) if plain_form(line)]
     lines = sorted({line for _, _, line in seen})
-    prints = LinePrints()(lines)
-    pairs = [(i, j) for i, j in (close(prints, radius) if lines else ()) if levenshtein(lines[i], lines[j]) <= (1 - least) * max(len(lines[i]), len(lines[j])) + 1e-9]
-    group = components(len(lines), pairs)
+    long = [i for i, x in enumerate(lines) if len(x.split()) >= 5]
+    group = dict(zip(lines, components(len(lines), [(i, j) for i in long for j in long if j < i and alike(lines[i], lines[j], least)])))
     first, out = set(), {}
     for i, n, line in seen:
-        g = group[lines.index(line)]
-        if g in first:
+        if group[line] in first:
             out.setdefault(i, []).append(n)
-        first.add(g)
+        first.add(group[line])
     return out
 
 
+def test_lines_of_a_batch_are_those_of_each():
+    rng = random.Random(11)
+    texts = ["", "\n\n", "one", "日本語 の テスト\nx-y 12,5 foo_bar", " \t\n a  b \n", "w " * 300 + "\n" + "long wörd " * 90, "\n".join(" ".join(f"w{rng.randrange(40)}" for _ in range(rng.randint(1, 70))) for _ in range(30))]
+    every = Lines.of(pa.array(texts, pa.large_string()))
+    assert [(t, n, x) for t, n, x in zip(every.text.tolist(), every.line.tolist(), every.forms())] == [(t, n, plain_form(x)) for t, text in enumerate(texts) for n, x in enumerate(text.split("\n")) if plain_form(x)]
+    assert every.sizes().tolist() == [len(x) for x in every.forms()] and len(set(every.keys().tolist())) == len(set(every.forms()))
+    marks = every.marks().to_pylist()
+    for form, key, fp, mark in zip(every.forms(), every.keys().tolist(), every.prints().tolist(), marks):
+        words = form.split()
+        ones = np.zeros(64, dtype=np.int64)
+        for w in words:
+            ones += (1 + min(len(w), 12) // 3) * np.array([xxhash.xxh64_intdigest(w) >> i & 1 for i in range(64)])
+        assert fp == np.packbits(2 * ones > sum(1 + min(len(w), 12) // 3 for w in words), bitorder="little").view(np.int64)[0]
+        alone = Lines.of(pa.array([form], pa.large_string()))
+        assert alone.keys().tolist() == [key] and alone.marks().to_pylist() == [mark] and bool(mark) == (len(words) >= 5)
+
+
 def test_line_dedup_against_brute_force(spark):
     rows = varied()
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -164,6 +192,21 @@ def test_line_dedup_against_brute_force(spark):
         assert r.text == "\n".join(x for n, x in enumerate(dict(rows)[r.doc_id].split("\n")) if n not in expected.get(r.doc_id, ()))
 
 
+def test_rows_that_share_an_id_lose_no_line(spark):
+    rows = [(5, "one line that stands here alone\nalpha beta gamma delta epsilon zeta"), (5, "north and south and east and west\na unique line that nobody else has ever written"), (5, "alpha beta gamma delta epsilon zeta"), (6, "alpha beta gamma delta epsilon zeta!\nlast")]
+    got = sorted(r.text for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert "\n".join(got).count("alpha beta") == 1 and "unique line" in "".join(got) and "north" in "".join(got) and "last" in got
+
+
+def test_line_dedup_with_clashing_names_and_long_lines(spark):
+    rng = random.Random(5)
+    long = " ".join("".join(rng.choice("abcdefg") for _ in range(6)) for _ in range(150_000))
+    rows = [(1, long, "a", 1), (2, long + " more", "b", 2), (3, None, None, None), (4, "w1 " * 9000, "c", 3), (5, "w22 " * 9000 + "more", "d", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `__lines` string, `a.b` int").withColumnsRenamed({"a.b": "own"})
+    got = {r.doc_id: r for r in dedup_lines(df).collect()}
+    assert dedup_lines(df).columns == df.columns and got[1].text == long and got[2].text == "" and got[2]["__lines"] == "b" and got[3].text is None and got[1].own == 1 and got[5].text == ""
+
+
 def test_line_dedup_at_the_edges(edges, nothing):
     out = dedup_lines(edges)
     assert out.columns == edges.columns and out.count() == 16
