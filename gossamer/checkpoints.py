@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -32,5 +33,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder as Parquet and read back: like a checkpoint, in fewer bytes and with sizes that the planner knows."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Have the driver collect its garbage, so that Spark's cleaner removes the shuffle files of plans that nothing refers to any more.
+
+    Written tables and checkpoints need them no longer; without this they stay until the driver's heap happens to fill.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
