@@ -41,9 +41,10 @@ def latest_nodes(announcements: DataFrame) -> DataFrame:
 
 def last_channels(announcements: DataFrame) -> DataFrame:
     """Each channel as last announced, with ``pos``, the place of its first announcement."""
-    rest = [c for c in announcements.columns if c != "scid"]
-    kept = announcements.groupBy("scid").agg(F.max_by(F.struct(*rest), "ord").alias("last"), F.min("ord").alias("pos"))
-    return kept.select("scid", "last.*", "pos")
+    own = Window.partitionBy("scid")
+    # one exchange and one sort, and columns that nobody asks for are pruned before them
+    ranked = announcements.withColumn("__rank", F.row_number().over(own.orderBy(F.desc("ord")))).withColumn("pos", F.min("ord").over(own))
+    return ranked.where("__rank = 1").select("scid", *[c for c in announcements.columns if c != "scid"], "pos")
 
 
 def announcement_counts(announcements: DataFrame) -> DataFrame:
@@ -86,14 +87,17 @@ def simple_edges(edges: DataFrame) -> DataFrame:
     Later channels, by first place and direction, win; an update stays until a later channel of the pair brings its own, while
     ``has_update`` is the last channel's.
     """
-    order = F.struct("pos", "direction")
+    last = Window.partitionBy("src", "dst").orderBy(F.desc("pos"), F.desc("direction"))
+    every = last.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranked = edges.withColumn("__rank", F.row_number().over(last)).withColumn("__update", F.first("update", ignorenulls=True).over(every))
     base = [c for c in edges.columns if c not in ("src", "dst", "pos", "has_update", "update")]
-    merged = edges.groupBy("src", "dst").agg(
-        F.max_by(F.struct(*base), order).alias("base"),
-        F.max_by("update", F.when(F.col("update").isNotNull(), order)).alias("update"),
-        F.max_by("has_update", order).alias("has_update"),
-    )
-    return merged.select("src", "dst", "base.*", "has_update", "update")
+    return ranked.where("__rank = 1").select("src", "dst", *base, "has_update", F.col("__update").alias("update"))
+
+
+def links(channels: DataFrame) -> DataFrame:
+    """(src, dst) of every channel, once: what connectivity needs of the edges."""
+    one, two = B.hex_lower(F.col("node_id_1")), B.hex_lower(F.col("node_id_2"))
+    return last_channels(channels).select(one.alias("src"), two.alias("dst"))
 
 
 def endpoints(channels: DataFrame) -> DataFrame:

@@ -29,6 +29,21 @@ def encode(rows: DataFrame, tag: int) -> DataFrame:
     return checkpoint(_encode(rows, tag))
 
 
+#: Messages by application, directory and name: made once, and read by every query of a session.
+_KEPT: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The messages of one kind, by name, made of the tables in ``sf_dir`` when they are first asked for."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _KEPT:
+        rows, tag = {
+            "channels": (channel_rows, 256), "nodes": (node_rows, 257), "updates": (update_rows, 258), "spread": (lambda s, d: update_rows(s, d, True), 258),
+        }[name]
+        _KEPT[key] = encode(rows(spark, sf_dir), tag)
+    return _KEPT[key]
+
+
 def update_rows(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     """Channel updates from events: a channel for each user, or with ``spread`` for each user and event number modulo 100."""
     e = F.col("event_id")
@@ -76,15 +91,15 @@ def node_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def updates(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
-    return decode(encode(update_rows(spark, sf_dir, spread), 258), 258)
+    return decode(kept(spark, sf_dir, "spread" if spread else "updates"), 258)
 
 
 def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decode(encode(channel_rows(spark, sf_dir), 256), 256)
+    return decode(kept(spark, sf_dir, "channels"), 256)
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decode(encode(node_rows(spark, sf_dir), 257), 257)
+    return decode(kept(spark, sf_dir, "nodes"), 257)
 
 
 def internal_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,8 +109,7 @@ def internal_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         o.alias("ord"), (o * 1000).cast("decimal(20,0)").alias("satoshis"), (o * 999).cast("decimal(20,0)").alias("amount_sat"), (o + 12).cast("decimal(20,0)").alias("equivalent_offset"),
         F.shiftleft("o_custkey", 40).bitwiseOR(F.shiftleft(o % 100, 16)).bitwiseOR(o % 7).alias("scid"), (F.col("o_custkey") + 700_000).alias("blockheight"),
     )
-    public = encode(channel_rows(spark, sf_dir), 256)
-    held = encode(update_rows(spark, sf_dir), 258)
+    public, held = kept(spark, sf_dir, "channels"), kept(spark, sf_dir, "updates")
     out = encode(orders, 4101)
     for tag in (4103, 4105, 4106):
         out = out.union(encode(orders, tag))
@@ -104,6 +118,6 @@ def internal_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    public = encode(channel_rows(spark, sf_dir), 256).union(encode(node_rows(spark, sf_dir), 257)).union(encode(update_rows(spark, sf_dir), 258))
+    public = kept(spark, sf_dir, "channels").union(kept(spark, sf_dir, "nodes")).union(kept(spark, sf_dir, "updates"))
     unknown = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ord"), F.unhex(F.lit("0001ff")).alias("msg"))
     return public.union(internal_messages(spark, sf_dir)).union(unknown)

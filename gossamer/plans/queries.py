@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +16,7 @@ from gossamer.operators.decode import encode as encode_messages
 from gossamer.operators.decode import decode, nested, presented, tag_counts
 from gossamer.operators.events import arrivals, plugin_events, platform_event, validate_events
 from gossamer.plans import fixtures as X
-from gossamer.sources.gossip import read_binary, register
+from gossamer.sources.gossip import framed_files, messages_of, read_binary, register
 from gossamer.sources.sinks import graph_lines, save_graph
 from gossamer.streaming import gossip as S
 
@@ -156,11 +152,12 @@ def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def components_query(spark: SparkSession, d: str) -> DataFrame:
-    return components(*_graph(spark, d))
+    channels = X.channels(spark, d)
+    return components(G.vertices(channels, X.nodes(spark, d)).select("node_id"), G.links(channels))
 
 
 def component_sizes_query(spark: SparkSession, d: str) -> DataFrame:
-    return component_sizes(components(*_graph(spark, d)))
+    return component_sizes(components_query(spark, d))
 
 
 def graph_analysis(spark: SparkSession, d: str) -> DataFrame:
@@ -231,7 +228,7 @@ def envelope_valid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def plugin_event_messages(spark: SparkSession, d: str) -> DataFrame:
-    u = X.encode(X.update_rows(spark, d), 258)
+    u = X.kept(spark, d, "updates")
     event = F.to_json(F.struct(F.struct(F.lit(258).alias("type"), F.col("ord").alias("timestamp"), F.lit("02").alias("sender_node_id"), F.length("msg").cast("string").alias("length")).alias("metadata"), F.lower(F.hex("msg")).alias("raw_hex")))
     got = plugin_events(u.select("ord", event.alias("event")))
     return _plain_updates(decode(got.select("ord", "msg"), 258))
@@ -243,7 +240,7 @@ def event_arrivals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def platform_events_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    u = X.encode(X.update_rows(spark, d), 258)
+    u = X.kept(spark, d, "updates")
     made = u.select("ord", platform_event(F.col("msg"), F.lit(258), F.col("ord")).alias("event"))
     got = validate_events(made, verify_id=True).where("valid")
     return _plain_updates(decode(got.select("ord", F.unhex("raw_gossip_hex").alias("msg")), 258))
@@ -269,7 +266,7 @@ def address_types(spark: SparkSession, d: str) -> DataFrame:
 
 def sql_functions(spark: SparkSession, d: str) -> DataFrame:
     register_functions(spark)
-    u = X.encode(X.update_rows(spark, d, spread=True), 258)
+    u = X.kept(spark, d, "spread")
     out = u.selectExpr("ord", "message_tag(msg) AS tag", "CAST(uint_be(substring(msg, 107, 4)) AS BIGINT) AS timestamp", "update_direction(substring(msg, 112, 1)) AS direction", "lower(hex(reverse_bytes(substring(msg, 67, 32)))) AS chain_hash")
     return out
 
@@ -278,11 +275,10 @@ def _framed(spark: SparkSession, d: str, framing: str) -> DataFrame:
     """Messages written as files and read back, by the binary reader."""
     path = fresh_path(spark, f"framed-{framing}")
     local = path.removeprefix("file:")
-    if "://" in path and not path.startswith("file:"):  # a store that only Spark reads: the source cannot write there
-        local = os.path.join(tempfile.gettempdir(), f"framed-{framing}-{uuid.uuid4().hex}")
-        path = "file://" + local
+    m = X.kept(spark, d, "spread").select("msg")
+    if "://" in path and not path.startswith("file:"):  # a store that only Spark reads, where the source cannot write
+        return _plain_updates(decode(messages_of(framed_files(m, framing), framing), 258)).drop("ord")
     register(spark)
-    m = X.encode(X.update_rows(spark, d, spread=True), 258).select("msg")
     m.write.format("gossip").option("framing", framing).option("path", "/" + local.lstrip("/")).mode("append").save()
     return _plain_updates(decode(read_binary(spark, path, framing), 258)).drop("ord")
 
@@ -323,7 +319,7 @@ def dedup_stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 def window_counts_stream(spark: SparkSession, d: str) -> DataFrame:
-    """Hourly windows that the watermark has closed. A last row far ahead closes all of them, and stays out."""
+    """Counts by the hour and kind of event, in complete mode."""
     e = _events_stream(spark, d).select(F.timestamp_seconds(X.seconds("ts")).alias("event_time"), F.col("event_type").alias("kind"))
     out = fresh_path(spark, "windows")
     counts = e.groupBy(F.window("event_time", "1 hour").alias("w"), "kind").agg(F.count("*").alias("messages"))

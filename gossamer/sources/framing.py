@@ -97,8 +97,16 @@ def _next(f: BinaryIO, framing: str) -> Frame | None:
     return Frame(f.tell(), size)
 
 
-def hop(f: BinaryIO, framing: str, length: int, failfast: bool = False) -> Iterator[Frame]:
-    """Frames from the stream's place on, without reading messages; ``length`` is the file's."""
+#: Stands where a file breaks off.
+BROKEN = Frame(-1, -1)
+
+
+def hop(f: BinaryIO, framing: str, length: int, failfast: bool = False, mark: bool = False) -> Iterator[Frame]:
+    """Frames from the stream's place on, without reading messages; ``length`` is the file's.
+
+    Where the file breaks its format or ends inside a message, FramingError is raised with ``failfast``; else frames end there, with
+    BROKEN as the last one if it is to be marked.
+    """
     while True:
         try:
             frame = _next(f, framing)
@@ -109,15 +117,20 @@ def hop(f: BinaryIO, framing: str, length: int, failfast: bool = False) -> Itera
         except FramingError:
             if failfast:
                 raise
+            if mark:
+                yield BROKEN
             return
         if frame.size >= 0:
             yield frame
             f.seek(frame.at + frame.size)
 
 
-def messages(f: BinaryIO, framing: str, length: int, failfast: bool = False) -> Iterator[tuple[Frame, bytes]]:
-    """(frame, message) from the stream's place on."""
-    for frame in hop(f, framing, length, failfast):
+def messages(f: BinaryIO, framing: str, length: int, failfast: bool = False, mark: bool = False) -> Iterator[tuple[Frame, bytes | None]]:
+    """(frame, message) from the stream's place on; (BROKEN, None) marks where the file breaks off, if it is to be marked."""
+    for frame in hop(f, framing, length, failfast, mark):
+        if frame is BROKEN:
+            yield frame, None
+            return
         f.seek(frame.at)
         yield frame, f.read(frame.size)
 

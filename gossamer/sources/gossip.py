@@ -10,6 +10,7 @@ from __future__ import annotations
 import glob
 import io
 import os
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -66,7 +67,7 @@ class GossipReader(DataSourceReader):
         self.framing = options.get("framing", "auto")
         self.start = int(options.get("startord", "0"))
         self.skip_version = options.get("skipversionbyte", "true").lower() == "true"
-        self.failfast = options.get("mode", "PERMISSIVE").upper() == "FAILFAST"
+        self.failfast = options.get("mode", "FAILFAST").upper() == "FAILFAST"
         self.part_bytes = int(options.get("partbytes", str(PART_BYTES)))
         if self.framing not in (*FRAMINGS, "auto"):
             raise ValueError(f"framing is auto or one of {FRAMINGS}, not {self.framing!r}")
@@ -100,7 +101,7 @@ class GossipReader(DataSourceReader):
             length = os.path.getsize(partition.path)
             with open(partition.path, "rb") as f:
                 f.seek(partition.at)
-                for i, (frame, msg) in enumerate(messages(f, partition.framing, length, self.failfast)):
+                for i, (frame, msg) in enumerate(messages(f, partition.framing, length, self.failfast, mark=True)):
                     if i >= partition.n:
                         return
                     if partition.first + i >= self.start:
@@ -147,11 +148,23 @@ class GossipStream(SimpleDataSourceStreamReader):
         return rows, reached
 
 
+class Written(WriterCommitMessage):
+    """The attempt's file of a task that has ended well, and the name it gets with the job."""
+
+    def __init__(self, attempt: str, name: str):
+        self.attempt, self.name = attempt, name
+
+
 class GossipWriter(DataSourceWriter):
-    """One file for each partition, its messages in the order of its rows (column ``msg``)."""
+    """One file for each partition, its messages in the order of its rows (column ``msg``).
 
-    def __init__(self, options: dict, schema: StructType):
+    Files carry the job's name, so that an append replaces nothing. They appear when the job commits: an overwrite takes the older ones out
+    then, and a job that fails leaves the folder as it was.
+    """
+
+    def __init__(self, options: dict, schema: StructType, overwrite: bool = False):
         self.path, self.framing = options.get("path", "").removeprefix("file://"), options.get("framing", "varint")
+        self.overwrite, self.job = overwrite, uuid.uuid4().hex[:12]
         self.column = schema.fieldNames().index("msg")
         if self.framing not in FRAMINGS:
             raise ValueError(f"framing is one of {FRAMINGS}, not {self.framing!r}")
@@ -161,17 +174,37 @@ class GossipWriter(DataSourceWriter):
 
         context = TaskContext.get()
         os.makedirs(self.path, exist_ok=True)
-        name = os.path.join(self.path, f"part-{context.partitionId():05d}.gossip")
-        attempt = os.path.join(self.path, f"_{context.partitionId():05d}-{context.taskAttemptId()}")
+        name = os.path.join(self.path, f"part-{context.partitionId():05d}-{self.job}.gossip")
+        attempt = os.path.join(self.path, f"_{self.job}-{context.partitionId():05d}-{context.taskAttemptId()}")
         with open(attempt, "wb") as f:
             for part in frame_all((bytes(r[self.column]) for r in rows), self.framing):
                 f.write(part)
-        os.replace(attempt, name)
-        return WriterCommitMessage()
+        return Written(attempt, name)
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        if self.overwrite and os.path.isdir(self.path):
+            for old in _paths(self.path):
+                os.remove(old)
+        for m in messages:
+            if isinstance(m, Written):
+                os.replace(m.attempt, m.name)
+        self._clean()
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        self._clean()
+
+    def _clean(self) -> None:
+        """Take out what attempts of this job have left."""
+        for name in os.listdir(self.path) if os.path.isdir(self.path) else ():
+            if name.startswith(f"_{self.job}-"):
+                os.remove(os.path.join(self.path, name))
 
 
 class GossipSource(DataSource):
-    """Options: path, framing (auto), startOrd, skipVersionByte, mode (PERMISSIVE or FAILFAST), partBytes."""
+    """Options: path, framing (auto), startOrd, skipVersionByte, mode (FAILFAST or PERMISSIVE), partBytes.
+
+    A file that ends inside a message or breaks its format fails the query; with PERMISSIVE it ends there with a row whose ``msg`` is NULL.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -187,16 +220,34 @@ class GossipSource(DataSource):
         return GossipStream(dict(self.options))
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
-        return GossipWriter(dict(self.options), schema)
+        return GossipWriter(dict(self.options), schema, overwrite)
 
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(GossipSource)
 
 
-def read_binary(spark: SparkSession, path: str, framing: str = "auto", skip_version: bool = True, failfast: bool = False, start: int = 0) -> DataFrame:
-    """Message files from any store that Spark reads; a task holds one file. Files are numbered by their paths."""
-    files = spark.read.format("binaryFile").load(path)
+def read_binary(spark: SparkSession, path: str, framing: str = "auto", skip_version: bool = True, failfast: bool = True, start: int = 0) -> DataFrame:
+    """Message files from any store that Spark reads; a task holds one file. Files are numbered by their paths.
+
+    A broken file fails the query; without ``failfast`` it ends there with a row whose ``msg`` is NULL."""
+    return messages_of(spark.read.format("binaryFile").load(path), framing, skip_version, failfast, start)
+
+
+def framed_files(messages: DataFrame, framing: str) -> DataFrame:
+    """(path, content): a file for each partition of messages (msg), in the order of its rows, as what ``binaryFile`` reads."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        rows = (m for batch in batches for m in batch.column(0).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([f"part-{TaskContext.get().partitionId():05d}"]), pa.array([b"".join(frame_all(rows, framing))])], names=["path", "content"])
+
+    return messages.select("msg").mapInArrow(run, "path string, content binary")
+
+
+def messages_of(files: DataFrame, framing: str = "auto", skip_version: bool = True, failfast: bool = True, start: int = 0) -> DataFrame:
+    """The messages of files (path, content); files are numbered by their paths."""
     names = sorted(r["path"] for r in files.select("path").collect())  # names alone
     number = {n: i for i, n in enumerate(names)}
 
@@ -209,7 +260,7 @@ def read_binary(spark: SparkSession, path: str, framing: str = "auto", skip_vers
                     f = io.BytesIO(data)
                     own = _framing(framing, data[:11])
                     begin(f, own, skip_version)
-                    for i, (frame, msg) in enumerate(messages(f, own, len(data), failfast)):
+                    for i, (frame, msg) in enumerate(messages(f, own, len(data), failfast, mark=True)):
                         if i >= start:
                             yield name, (number[name] << FILE_ORD) + i, msg, frame.flags, frame.crc, frame.ts
 

@@ -1,6 +1,7 @@
 """The four framings: files, detection, truncation, parts, streams."""
 
 import io
+import os
 
 import pytest
 
@@ -86,3 +87,33 @@ def test_writer_and_stream(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
     assert [bytes(r.msg) for r in spark.read.parquet(str(tmp_path / "o")).orderBy("ord").collect()] == ITEMS
+
+
+def test_the_writer_appends_and_overwrites(spark, tmp_path):
+    register(spark)
+    folder = str(tmp_path / "gossip")
+    rows = lambda a, b: spark.range(a, b, 1, 4).selectExpr("CAST(CONCAT('message ', id, repeat('x', 40)) AS BINARY) AS msg")
+    save = lambda df, mode: df.write.format("gossip").option("framing", "gsp").option("path", folder).mode(mode).save()
+    held = lambda: sorted(bytes(r.msg) for r in spark.read.format("gossip").load(folder).collect())
+    save(rows(0, 40), "append")
+    save(rows(40, 50), "append")
+    assert held() == sorted(bytes(r.msg) for r in rows(0, 50).collect())
+    save(rows(60, 70), "overwrite")
+    assert held() == sorted(bytes(r.msg) for r in rows(60, 70).collect())
+    failing = rows(0, 8).selectExpr("CASE WHEN msg LIKE '%7%' THEN CAST(raise_error('no') AS BINARY) ELSE msg END AS msg")
+    with pytest.raises(Exception, match="no"):
+        save(failing, "append")
+    assert len(held()) == 10 and not [x for x in os.listdir(folder) if x.startswith("_")]
+
+
+def test_broken_files_fail_unless_told_otherwise(spark, tmp_path):
+    data = b"".join(frame_all([b"a" * 40, b"b" * 40], "varint"))
+    path = str(tmp_path / "cut")
+    with open(path, "wb") as f:
+        f.write(data[:-5])
+    register(spark)
+    for read_ in (lambda: read_binary(spark, path), lambda: spark.read.format("gossip").load(path)):
+        with pytest.raises(Exception, match="cut short"):
+            read_().collect()
+    for kept in (read_binary(spark, path, failfast=False), spark.read.format("gossip").option("mode", "PERMISSIVE").load(path)):
+        assert [r.msg for r in kept.orderBy("ord").collect()] == [bytearray(b"a" * 40), None]
