@@ -2,13 +2,12 @@
 
 Where no rule names a page's address, its host decides: trust spreads from trusted seed hosts along links (personalised
 PageRank), distrust from blocked seed hosts against them (who links to bad hosts is suspect), and a host whose distrust
-passes the threshold and its trust is blocked.
+passes a threshold that its own links set, and its trust, is blocked.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,16 +24,15 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-#: Host labels that mark a blocked seed, as on the shared block lists of these trades.
-BLOCKED_LABELS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 DAMPING = 0.85
-#: Distrust from which a host is blocked; a blocked seed alone has 1 - DAMPING.
-THRESHOLD = 0.05
-ROUNDS = 20
-TOLERANCE = 1e-6
+#: Share of what a host's links could bring it, were all its targets blocked seeds, from which it is blocked.
+THRESHOLD = 0.5
+#: Scores move by less than DAMPING ** n after n rounds, so the tolerance is met long before the last one.
+ROUNDS, TOLERANCE = 200, 1e-6
 
 _ADDRESS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-_LINK = r"(?i)\bhref\s*=\s*[\"']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#\"'\s>]+)"
+# Addresses with a host: in attributes that name another document, in a refresh, and in srcset's list.
+_LINK = r"(?i)(?:\b(?:href|src|action|formaction|cite|data|poster|longdesc|background)\s*=\s*[\"']?\s*|\burl\s*=\s*[\"']?\s*|\bsrcset\s*=\s*[\"']?\s*|\bcontent\s*=\s*[\"']?\s*)(?:[a-z][a-z0-9+.-]*:)?//([^/?#\"'\s>,]+)"
 
 
 def _lower(text: Column) -> Column:
@@ -71,7 +69,8 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
 
     ``seeds`` has (host, kind, weight), kind 0 for trust and 1 for distrust. Trust flows along links, shared among a host's
     targets; distrust flows back, shared among a host's sources. Both go round in one aggregation, which combines before
-    its shuffle; each round is checkpointed and ends the loop once no score moves by more than the tolerance.
+    its shuffle; each round is checkpointed and ends the loop once no score moves by more than the tolerance. If that is not so after
+    ``rounds`` of them, RuntimeError is raised.
     """
     arcs = links.select(F.lit(0).alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to")).union(
         links.select(F.lit(1), F.col("dst"), F.col("src"))
@@ -88,6 +87,8 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
         now = after
         if largest is None or largest <= tolerance:
             break
+    else:
+        raise RuntimeError(f"scores still moved by {largest} after {rounds} rounds")
     return now.groupBy("host").agg(
         F.coalesce(F.sum(F.when(F.col("kind") == 0, F.col("score"))), F.lit(0.0)).alias("trust"),
         F.coalesce(F.sum(F.when(F.col("kind") == 1, F.col("score"))), F.lit(0.0)).alias("distrust"),
@@ -95,36 +96,54 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
 
 
 def filter_urls(
-    pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, blocked_labels: Iterable[str] = BLOCKED_LABELS, trusted_hosts: Iterable[str] = (),
+    pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, blocked_hosts: DataFrame | None = None, trusted_hosts: DataFrame | None = None,
     threshold: float = THRESHOLD, id_col: str = "page_id",
 ) -> DataFrame:
     """(page_id, host, path, rule, verdict, decided_by, trust, distrust) for every row of pages (url, html).
 
-    A host with a label among ``blocked_labels`` is a blocked seed. Trusted seeds are ``trusted_hosts`` and the hosts
-    with a page that a rule allows, blocked seeds excepted. A null or addressless url has empty host and path and is
-    allowed; a null html has no links; repeated rows get equal results; an empty table gives no rows.
+    The longest rule that fits decides. Where none does, the host decides: hosts in the table ``blocked_hosts`` (host) are blocked. Any
+    other one is blocked where the distrust that its links bring it is ``threshold`` or more of what they could bring were all its targets
+    blocked seeds, and a larger share than the trust is of what the links to it could bring, were they all from trusted seeds. Blocked seeds
+    are ``blocked_hosts``, and each host by the share of its pages that a rule blocks; trusted ones are ``trusted_hosts`` and each host by
+    the share of its pages that a rule allows. A seed's own weight does not count against it: rules name paths, and not the host's other
+    pages. A null or addressless url has empty host and path and is allowed; a null html has no links; repeated rows get
+    equal results and count each; further columns are not looked at; an empty table gives no rows.
     """
     url, html = F.col("url").cast("string"), F.col("html").cast("string")
     plain = pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), html.alias("html"))
     ruled = plain.withColumn("by", rule_for(F.col("host"), F.col("path"), rules))
-    links = host_links(plain)
-    bad = reduce(lambda a, b: a | b, [F.array_contains(F.split("host", r"\."), x) for x in blocked_labels], F.lit(False))
-    known = ruled.where("host <> ''").groupBy("host").agg(F.max(F.coalesce(F.col("by.verdict") == "allow", F.lit(False))).alias("allowed"))
-    hosts = known.select("host", "allowed").unionByName(links.select(F.col("dst").alias("host"), F.lit(False).alias("allowed")))
-    hosts = hosts.groupBy("host").agg(F.max("allowed").alias("allowed"))
-    trusted = F.col("allowed") | F.col("host").isin(*trusted_hosts) if trusted_hosts else F.col("allowed")
-    seeds = hosts.select("host", F.when(bad, 1).when(trusted, 0).alias("kind"), F.lit(1.0).alias("weight")).where("kind is not null")
+    links = checkpoint(host_links(plain))
+    share = lambda verdict: F.avg(F.coalesce(F.col("by.verdict") == verdict, F.lit(False)).cast("double"))
+    own = ruled.where("host <> ''").groupBy("host").agg(share("allow").alias("trusted"), share("block").alias("bad"))
+    kinds = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("trusted").alias("weight")), F.struct(F.lit(1).alias("kind"), F.col("bad").alias("weight"))))
+    given = own.select("host", kinds.alias("k")).select("host", "k.*")
+    for kind, table_ in ((0, trusted_hosts), (1, blocked_hosts)):
+        if table_ is not None:
+            given = given.union(table_.select(F.lower("host").alias("host")).distinct().select("host", F.lit(kind), F.lit(1.0)))
+    seeds = checkpoint(given.groupBy("host", "kind").agg(F.max("weight").alias("weight")).where("weight > 0"))
+    scores = propagate(links, seeds)
+    # what comes by links, and what would come were all of a host's neighbours seeds of full weight
+    start = seeds.groupBy("host").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("weight") * (1 - DAMPING))), F.lit(0.0)).alias(n) for k, n in ((0, "trust_own"), (1, "distrust_own"))])
+    most = DAMPING * (1 - DAMPING)
+    targets, sources = links.groupBy("src").agg(F.count("*").alias("n")), links.groupBy("dst").agg(F.count("*").alias("n"))
+    could_distrust = links.join(sources, "dst").groupBy(F.col("src").alias("host")).agg(F.sum(most / F.col("n")).alias("could_distrust"))
+    could_trust = links.join(targets, "src").groupBy(F.col("dst").alias("host")).agg(F.sum(most / F.col("n")).alias("could_trust"))
+    by_host = scores.join(start, "host", "left").join(could_distrust, "host", "left").join(could_trust, "host", "left")
+    came = lambda n: F.coalesce(F.greatest(F.col(n) - F.coalesce(f"{n}_own", F.lit(0.0)), F.lit(0.0)) / F.col(f"could_{n}"), F.lit(0.0))
+    by_host = by_host.select("host", "trust", "distrust", ((came("distrust") >= threshold) & (came("distrust") > came("trust"))).alias("bad"))
+    if blocked_hosts is not None:
+        listed = blocked_hosts.select(F.lower("host").alias("host")).distinct().withColumn("listed", F.lit(True))
+        by_host = by_host.join(listed, "host", "left").withColumn("bad", F.col("bad") | F.coalesce("listed", F.lit(False))).drop("listed")
     # Checkpointed, so that the join deals both sides anew and a host with very many pages can be split.
-    scores = checkpoint(propagate(checkpoint(links), seeds))
-    out = ruled.select("page_id", "host", "path", "by").join(scores, "host", "left")
-    blocked = (F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust"))
+    out = ruled.select("page_id", "host", "path", "by").join(checkpoint(by_host), "host", "left")
     return out.select(
         "page_id", "host", "path", F.col("by.rule").alias("rule"),
-        F.coalesce("by.verdict", F.when(blocked, "block").otherwise("allow")).alias("verdict"),
+        F.coalesce("by.verdict", F.when(F.col("bad"), "block").otherwise("allow")).alias("verdict"),
         F.when(F.col("by").isNotNull(), "rule").otherwise("graph").alias("decided_by"),
         F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"),
     )
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's url; the seeds are the rules' own. Edge cases as in ``filter_urls``."""
     return filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
