@@ -11,9 +11,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from gossamer.checkpoints import written
-from gossamer.llm.common import table
+from gossamer.checkpoints import fresh_path, written
+from gossamer.llm.common import quoted, table
 
 
 @dataclass(frozen=True)
@@ -46,8 +47,8 @@ FURTHER = (
 )
 RULES = BASE + FURTHER
 
-LEDGER = "blob string, rule string"
-FINDINGS = "blob string, rule string, start long, end long"
+#: A row for each scan of a blob: the rule versions it was scanned under, and what they found (code points from 0, end exclusive).
+LEDGER = "blob string, rules array<string>, hits array<struct<rule:string,start:bigint,end:bigint>>"
 
 
 def blob_of(text: Column) -> Column:
@@ -71,30 +72,43 @@ def _hits(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return by_rule.select("blob", F.col("r.rule").alias("rule"), F.posexplode("r.hits").alias("at", "h")).select("blob", "rule", "at", "h.gap", "h.size", "h.checked")
 
 
-def scan(paths: DataFrame, ledger: DataFrame | None = None, findings: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
-    """The ledger and the findings after all versions in ``paths`` (text) have been scanned under ``rules``.
+def ledger_at(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger kept at ``path``; without rows where there is none yet."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(LEDGER)])
+    return spark.read.schema(LEDGER).parquet(path)
 
-    Blobs that the ledger (blob, rule) has under a rule are left alone for that rule. Findings are (blob, rule, start, end): code points
-    from 0, end exclusive, leftmost and non-overlapping for each rule. A null text is the empty blob.
+
+def scan(paths: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Scan all versions in ``paths`` (text) under ``rules``, keep the outcome in the ledger at path ``ledger`` and return the whole ledger.
+
+    Only pairs of blob and rule version that the ledger does not have are scanned, each blob once however many rows hold it, and a blob and
+    its findings enter the ledger in one row, so that a scan that fails leaves out both. Texts are moved only to meet unseen blobs.
+    Findings are leftmost and non-overlapping for each rule. A null text is the empty blob.
     """
     spark = paths.sparkSession
     text = F.col("text").cast("string")
-    names = F.array(*[F.lit(r.name) for r in rules])
+    names, none = F.array(*[F.lit(r.name) for r in rules]), F.array().cast("array<string>")
+    blobs = paths.select(blob_of(text).alias("blob"), F.coalesce(text, F.lit("")).alias("text"))
+    seen = ledger_at(spark, ledger).select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
+    todo = blobs.select("blob").distinct().join(seen, "blob", "left").select("blob", F.array_except(names, F.coalesce("seen", none)).alias("rules"))
+    todo = written(todo.where(F.size("rules") > 0), "unseen-blobs")
     # One row a blob; copies of a text meet in the partial aggregation of each input partition first.
-    blobs = paths.select(blob_of(text).alias("blob"), F.coalesce(text, F.lit("")).alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
-    unseen = blobs.withColumn("rules", names)
-    if ledger is not None:
-        seen = ledger.groupBy("blob").agg(F.collect_set("rule").alias("seen"))
-        unseen = blobs.join(seen, "blob", "left").withColumn("rules", F.array_except(names, F.coalesce("seen", F.array().cast("array<string>")))).where(F.size("rules") > 0).drop("seen")
+    unseen = blobs.groupBy("blob").agg(F.first("text").alias("text")).join(todo, "blob") if seen.isEmpty() else blobs.join(todo, "blob").groupBy("blob").agg(F.first("text").alias("text"), F.first("rules").alias("rules"))
     order = Window.partitionBy("blob", "rule").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     after = F.sum(F.col("gap") + F.col("size")).over(order).cast("long")
     least = F.create_map(*[x for r in rules for x in (F.lit(r.name), F.lit(r.least))])
     placed = _hits(unseen, rules).withColumn("end", after).where(F.col("checked") >= least[F.col("rule")])
-    found = placed.select("blob", "rule", (F.col("end") - F.col("size")).alias("start"), "end")
-    known = paths.select(blob_of(text).alias("blob")).distinct().select("blob", F.explode(names).alias("rule"))
-    if ledger is not None:
-        known = ledger.select("blob", "rule").union(known).distinct()
-    return known, found if findings is None else findings.select("blob", "rule", "start", "end").unionByName(found)
+    found = placed.groupBy("blob").agg(F.collect_list(F.struct("rule", (F.col("end") - F.col("size")).alias("start"), "end")).alias("hits"))
+    empty = F.array().cast("array<struct<rule:string,start:bigint,end:bigint>>")
+    todo.join(found, "blob", "left").select("blob", "rules", F.coalesce("hits", empty).alias("hits")).write.mode("append").parquet(ledger)
+    return ledger_at(spark, ledger)
+
+
+def findings_of(ledger: DataFrame) -> DataFrame:
+    """(blob, rule, start, end) of every finding in a ledger."""
+    return ledger.select("blob", F.explode("hits").alias("hit")).select("blob", "hit.*")
 
 
 def by_blob(findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -109,12 +123,14 @@ def joined(marks: Column) -> Column:
     return F.concat_ws(",", F.transform(marks, lambda m: F.concat_ws(":", m["kind"], m["start"].cast("string"), m["end"].cast("string"))))
 
 
-def find_secrets(docs: DataFrame, ledger: DataFrame | None = None, findings: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def find_secrets(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(doc_id, blob, marks) for every row of docs; ``marks`` is empty, not null, where nothing was found.
 
-    A null text counts as empty; repeated rows get equal results; an empty table gives no rows.
+    ``ledger`` is the path of a ledger to go on with; without one a new ledger begins in the shared folder. A null text counts as
+    empty; repeated rows get equal results; further columns are not looked at; an empty table gives no rows.
     """
-    _, found = scan(docs.select("text"), ledger, findings, rules)
+    path = ledger or fresh_path(docs.sparkSession, "secret-ledger")
+    found = findings_of(scan(docs.select("text"), path, rules))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), blob_of(F.col("text").cast("string")).alias("blob"))
     none = F.array().cast("array<struct<start:bigint,place:int,end:bigint,kind:string>>")
     # Written first, so that the join deals both sides anew and a blob with very many paths can be split.
@@ -122,6 +138,8 @@ def find_secrets(docs: DataFrame, ledger: DataFrame | None = None, findings: Dat
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and spans of every text. The query begins a ledger of its own, so that it scans every blob whenever it runs; edge cases as in
+    ``find_secrets``."""
     found = find_secrets(table(spark, sf_dir, "documents"))
     base = F.filter("marks", lambda m: m["place"] < len(BASE))
     count = lambda k: F.size(F.filter("marks", lambda m: m["kind"] == k)).cast("long")
@@ -131,28 +149,36 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[REDACTED]") -> DataFrame:
-    """docs with every finding, overlapping ones as one, replaced by the mask; all columns and rows stay, null texts too.
+def redact(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES, mask: str = "[REDACTED]") -> DataFrame:
+    """docs with every finding, overlapping ones as one, replaced by the mask; all columns and rows stay, whatever they are called, null
+    texts too.
 
-    Blobs without findings are not looked at again. The mask itself is no secret, so a second run changes nothing.
+    ``ledger`` as in ``find_secrets``. Blobs without findings are not looked at again. The mask itself is no secret, so a second run changes
+    nothing. Repeated rows get equal texts; an empty table gives no rows.
     """
-    _, found = scan(docs.select("text"), rules=rules)
+    path = ledger or fresh_path(docs.sparkSession, "secret-ledger")
+    scan(docs.select("text"), path, rules)
+    mine = [r.name for r in rules]
+    found = findings_of(ledger_at(docs.sparkSession, path)).where(F.col("rule").isin(mine))
     reach = Window.partitionBy("blob").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     first = F.coalesce(F.col("start") > F.max("end").over(reach), F.lit(True))
     run = F.sum(F.when(first, 1).otherwise(0)).over(Window.partitionBy("blob").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0))
     merged = found.withColumn("run", run).groupBy("blob", "run").agg(F.min("start").alias("a"), F.max("end").alias("b"))
-    cuts = written(merged.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("__cuts")), "cuts")
-    marked = docs.withColumn("__blob", blob_of(F.col("text").cast("string"))).join(cuts.withColumnRenamed("blob", "__blob"), "__blob", "left")
-    at = lambda i: F.element_at("__cuts", i)
+    cuts = written(merged.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("cuts")), "cuts")
+    # all columns of docs travel in one, where no name of theirs meets one from here
+    own = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("own"), F.col("text").cast("string").alias("text"))
+    marked = own.withColumn("blob", blob_of(F.col("text"))).join(cuts, "blob", "left")
+    at = lambda i: F.element_at("cuts", i)
     pieces = F.transform(
-        F.sequence(F.lit(1), F.size("__cuts") + 1),
+        F.sequence(F.lit(1), F.size("cuts") + 1),
         lambda i: F.substring(
             "text",
             F.when(i == 1, 1).otherwise(at(F.greatest(i - 1, F.lit(1)))["b"] + 1).cast("int"),
-            F.when(i > F.size("__cuts"), F.lit(2**31 - 1)).otherwise(at(F.least(i, F.size("__cuts")))["a"] - F.when(i == 1, 0).otherwise(at(F.greatest(i - 1, F.lit(1)))["b"])).cast("int"),
+            F.when(i > F.size("cuts"), F.lit(2**31 - 1)).otherwise(at(F.least(i, F.size("cuts")))["a"] - F.when(i == 1, 0).otherwise(at(F.greatest(i - 1, F.lit(1)))["b"])).cast("int"),
         ),
     )
-    return marked.withColumn("text", F.when(F.col("__cuts").isNull(), F.col("text")).otherwise(F.array_join(pieces, mask))).select(*docs.columns)
+    masked = F.when(F.col("cuts").isNull(), F.col("text")).otherwise(F.array_join(pieces, mask))
+    return marked.select(*[masked.alias("text") if c == "text" else F.col("own").getField(c).alias(c) for c in docs.columns])
 
 
 def _oracle() -> str:

@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 from gossamer.llm import iblt
 from gossamer.llm.packing import byte_bpe, fill, pack, plan
 from gossamer.llm.quality import Bands, judge, measures, repeated_words, verdict
-from gossamer.llm.secrets import BASE, RULES, Rule, by_blob, find_secrets, joined, redact, scan
+from gossamer.llm.secrets import BASE, Rule, find_secrets, joined, ledger_at, redact
 from gossamer.llm.sentencepiece_viterbi import Codec, StreamingViterbi, decode, encode
 from gossamer.llm.sharding import fisher_yates, shuffle_into_shards
 from gossamer.llm.toxicity import Lexicon, clause_scores, fit, grammar, keep_clean, logistic, score, train
@@ -317,17 +317,25 @@ def test_secrets(spark, edges, nothing):
     assert find_secrets(edges).count() == 16 and find_secrets(nothing).count() == 0 and redact(edges).columns == edges.columns and redact(nothing).count() == 0
 
 
-def test_ledger_scans_unseen_pairs_only(spark):
-    first = spark.createDataFrame([("a token=abcdefgh1",), ("clean",)], "text string")
-    ledger, findings = (d.cache() for d in scan(first, rules=BASE))
-    assert ledger.count() == 2 * len(BASE) and findings.count() == 1
-    both = first.union(spark.createDataFrame([("new secret=abcdefgh2",)], "text string"))
-    # findings taken away show which pairs are scanned again: none of those the ledger has
-    again = scan(both, ledger, findings.limit(0), rules=BASE)
-    assert again[1].count() == 1 and again[0].count() == 3 * len(BASE)
-    newer = (Rule("assign", BASE[0].pattern, 1, 8, version=2), *BASE[1:])
-    assert scan(both, again[0], findings.limit(0), rules=newer)[1].count() == 2
-    assert by_blob(findings).count() == 1 and len(RULES) > len(BASE)
+def test_ledger_scans_unseen_pairs_only(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    made = lambda *texts: spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = lambda rows, rules=BASE: {r.doc_id: r.x for r in find_secrets(rows, path, rules).select("doc_id", joined(F.col("marks")).alias("x")).collect()}
+    rows = lambda: ledger_at(spark, path).count()
+    assert found(made("a token=abcdefgh1", "clean", "clean")) == {0: "assign:2:17", 1: "", 2: ""} and rows() == 2
+    # the same texts again: no blob is scanned, and the findings come from the ledger
+    assert found(made("clean", "a token=abcdefgh1", "a token=abcdefgh1")) == {0: "", 1: "assign:2:17", 2: "assign:2:17"} and rows() == 2
+    assert found(made("a token=abcdefgh1", "new secret=abcdefgh2")) == {0: "assign:2:17", 1: "assign:4:20"} and rows() == 3
+    # a new version of one rule: each blob is scanned under that one alone
+    newer = (Rule("assign", BASE[0].pattern, 1, 9, version=2), *BASE[1:])
+    assert found(made("a token=abcdefgh1", "clean", "token=12345678"), newer) == {0: "assign:2:17", 1: "", 2: ""}
+    assert rows() == 6 and sorted(len(r.rules) for r in ledger_at(spark, path).collect()) == [1, 1, 3, 3, 3, 3]
+    assert redact(made("a token=abcdefgh1"), path, newer).first().text == "a [REDACTED]" and rows() == 6
+
+
+def test_redact_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, "token=abcdefgh1", "x", 1, 2, 3)], "doc_id long, text string, `__cuts` string, cuts int, blob int, own int")
+    assert [tuple(r) for r in redact(df).collect()] == [(1, "[REDACTED]", "x", 1, 2, 3)]
 
 
 # -- toxicity ------------------------------------------------------------------------------------------------------------------
@@ -388,7 +396,7 @@ def test_toxicity_held_out(spark, edges, nothing):
 def test_url_rules(spark, nothing):
     urls = {
         "http://a.example.com/en/1": ("com/en/", "block"), "http://EXAMPLE.com/en/7x?q": ("example.com/en/7", "allow"), "https://x.net/de/1": ("net/de/", "allow"), "https://example.net/de/8#f": ("example.net/de/8", "block"),
-        "http://o.org/es/": ("org/es/", "block"), "http://o.org/es": (None, "allow"), "http://m.casino-win.example.org/fr/": (None, "block"), None: (None, "allow"), "no scheme": (None, "allow"), "http://notexample.com/en/7": ("com/en/", "block"), "http://com": (None, "allow"),
+        "http://o.org/es/": ("org/es/", "block"), "http://o.org/es": (None, "allow"), "http://m.listed.example.org/fr/": (None, "allow"), None: (None, "allow"), "no scheme": (None, "allow"), "http://notexample.com/en/7": ("com/en/", "block"), "http://com": (None, "allow"),
     }
     df = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string")
     got = {r.page_id: r for r in filter_urls(df).collect()}
@@ -399,19 +407,42 @@ def test_url_rules(spark, nothing):
 
 def test_distrust_flows_against_links(spark):
     page = lambda i, host, *to: (i, f"http://{host}/x", "".join(f'<a href="https://{t}/">' for t in to) + '<a href="/local">')
-    df = spark.createDataFrame([page(1, "farm.example.org", "casino-win.example.org"), page(2, "good.example.org", "farm.example.org", "news.example.org"), page(3, "casino-win.example.org"), page(4, "news.example.org")], "page_id long, url string, html string")
-    got = {r.page_id: r for r in filter_urls(df).collect()}
-    assert [got[i].verdict for i in (1, 2, 3, 4)] == ["block", "block", "block", "allow"]
-    trusted = {r.page_id: r for r in filter_urls(df, trusted_hosts=["good.example.org"]).collect()}
+    rows = [page(1, "farm.example.org", "bad.example.org"), page(2, "good.example.org", "farm.example.org", "news.example.org"), page(3, "bad.example.org"), page(4, "news.example.org")]
+    rows += [page(5, "half.example.org", "bad.example.org", "farm.example.org", "news.example.org"), page(6, "fan.example.org", "news.example.org")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    listed = spark.createDataFrame([("BAD.example.org",)], "host string")
+    got = {r.page_id: r for r in filter_urls(df, blocked_hosts=listed).collect()}
+    assert [got[i].verdict for i in range(1, 7)] == ["block", "allow", "block", "allow", "block", "allow"]
+    assert all(r.verdict == "allow" and r.distrust == 0 for r in filter_urls(df).collect())
+    trusted = {r.page_id: r for r in filter_urls(df, blocked_hosts=listed, trusted_hosts=spark.createDataFrame([("good.example.org",)], "host string")).collect()}
     assert trusted[2].verdict == "allow" and trusted[4].trust > 0
 
 
+def test_rules_seed_the_graph_by_the_share_of_pages(spark):
+    """Of ads.com all pages are blocked, and who links to it alone goes; of mixed.com one in four, which is not enough."""
+    rows = [(i, "http://ads.com/en/", None) for i in range(4)] + [(10 + i, "http://mixed.com/" + ("en/" if i == 0 else "fr/"), None) for i in range(4)]
+    rows += [(20, "http://a.org/", '<img src="//ads.com/x.png">'), (21, "http://b.org/", "<a href='http://mixed.com/'>"), (21, "http://b.org/", "<a href='http://mixed.com/'>"), (22, "http://c.org/", '<meta http-equiv=refresh content="0; url=https://ads.com/">')]
+    rows += [(30, "http://" + "long." * 2000 + "org/" + "x" * 100_000, "<p>" * 300_000), (31, "", ""), (None, None, None)]
+    df = spark.createDataFrame([(*r, "x", 1, "y") for r in rows], "page_id long, url string, html string, host string, distrust int, `by` string")
+    got = [(r.page_id, r.verdict) for r in filter_urls(df).collect()]
+    assert sorted(got, key=str) == sorted([(i, "block") for i in range(4)] + [(10, "block"), (11, "allow"), (12, "allow"), (13, "allow"), (20, "block"), (21, "allow"), (21, "allow"), (22, "block"), (30, "allow"), (31, "allow"), (None, "allow")], key=str)
+
+
+def test_propagation_goes_to_the_end_of_a_chain(spark):
+    arcs = spark.createDataFrame([(f"h{i:02d}", f"h{i + 1:02d}") for i in range(60)], "src string, dst string")
+    seed = spark.createDataFrame([("h00", 0, 1.0)], "host string, kind int, weight double")
+    got = {r.host: r.trust for r in propagate(arcs, seed).collect()}
+    assert len(got) == 61 and got["h60"] == pytest.approx(0.15 * 0.85**60)
+    with pytest.raises(RuntimeError):
+        propagate(arcs, seed, rounds=5)
+
+
 def test_propagation_against_power_iteration(spark):
     rng = random.Random(12)
     arcs = sorted({(f"h{rng.randrange(12)}", f"h{rng.randrange(12)}") for _ in range(30)})
     arcs = [(a, b) for a, b in arcs if a != b]
     seeds = [("h1", 0, 1.0), ("h2", 1, 1.0)]
-    got = {r.host: (r.trust, r.distrust) for r in propagate(spark.createDataFrame(arcs, "src string, dst string"), spark.createDataFrame(seeds, "host string, kind int, weight double"), rounds=60, tolerance=1e-9).collect()}
+    got = {r.host: (r.trust, r.distrust) for r in propagate(spark.createDataFrame(arcs, "src string, dst string"), spark.createDataFrame(seeds, "host string, kind int, weight double"), tolerance=1e-9).collect()}
     for kind, ways in ((0, arcs), (1, [(b, a) for a, b in arcs])):
         out = collections.Counter(a for a, _ in ways)
         now = start = {h: 0.15 * w for h, k, w in seeds if k == kind}
