@@ -1,7 +1,7 @@
 """Hamming-distance search over 64-bit fingerprints held as vertical bit planes.
 
 Plane ``p`` holds bit ``p`` of 64 fingerprints in each machine word, so one XOR compares one bit of 64 pairs.
-Distances of all pairs in a word grow together in carry-save counters (ones, twos, fours) with a sticky ``over``
+Distances of all pairs in a word grow together in carry-save counters (ones, twos, fours and on) with a sticky ``over``
 flag; words whose 64 pairs have all passed the radius are abandoned after each run of planes.
 """
 
@@ -31,12 +31,13 @@ def _lanes(words: np.ndarray) -> np.ndarray:
 
 
 def within(difference, words: int, valid: np.ndarray, radius: int) -> np.ndarray:
-    """Lanes at most ``radius`` (0 to 7) apart. ``difference(plane, at)`` gives the XOR of a plane for the words ``at``."""
+    """Lanes at most ``radius`` (0 to 31) apart. ``difference(plane, at)`` gives the XOR of a plane for the words ``at``."""
     alive = np.flatnonzero(valid)
     out = np.zeros(words, dtype=np.uint64)
     if not len(alive):
         return out
-    ones, twos, fours, over = (np.zeros(len(alive), dtype=np.uint64) for _ in range(4))
+    ones, twos, over = (np.zeros(len(alive), dtype=np.uint64) for _ in range(3))
+    higher = [np.zeros(len(alive), dtype=np.uint64) for _ in range(1 if radius < 8 else 3)]  # fours, eights, sixteens
     for start in range(0, WIDTH, RUN):
         for p in range(start, start + RUN, 4):
             a, b, c, d = (difference(q, alive) for q in range(p, p + 4))
@@ -49,27 +50,29 @@ def within(difference, words: int, valid: np.ndarray, radius: int) -> np.ndarray
             x = twos ^ carry_1
             carry_4 = (twos & carry_1) | (x & carry_2)
             twos = x ^ carry_2
-            over |= fours & carry_4
-            fours |= carry_4
-            over |= _above(ones, twos, fours, radius)
+            carry = carry_4
+            for i, counter in enumerate(higher):
+                higher[i], carry = counter ^ carry, counter & carry
+            over |= carry
+            over |= _above([ones, twos, *higher], radius)
         open_ = (valid[alive] & ~over) != 0
         if not open_.all():
-            alive, ones, twos, fours, over = (v[open_] for v in (alive, ones, twos, fours, over))
+            alive, ones, twos, over, *higher = (v[open_] for v in (alive, ones, twos, over, *higher))
             if not len(alive):
                 return out
     out[alive] = valid[alive] & ~over
     return out
 
 
-def _above(ones: np.ndarray, twos: np.ndarray, fours: np.ndarray, radius: int) -> np.ndarray:
-    """Lanes whose counter, 0 to 7, is over the radius."""
-    greater, equal = np.zeros_like(ones), np.full_like(ones, ALL)
-    for counter, bit in ((fours, radius >> 2 & 1), (twos, radius >> 1 & 1), (ones, radius & 1)):
-        if bit:
-            equal = equal & counter
+def _above(counters: list[np.ndarray], radius: int) -> np.ndarray:
+    """Lanes whose number, given by its binary digits from the ones up, is over the radius."""
+    greater, equal = np.zeros_like(counters[0]), np.full_like(counters[0], ALL)
+    for digit in range(len(counters) - 1, -1, -1):
+        if radius >> digit & 1:
+            equal = equal & counters[digit]
         else:
-            greater = greater | (equal & counter)
-            equal = equal & ~counter
+            greater = greater | (equal & counters[digit])
+            equal = equal & ~counters[digit]
     return greater
 
 

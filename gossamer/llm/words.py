@@ -55,3 +55,37 @@ def words_of(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Ar
         kept = number != names.index("")
         own, number = own[kept], number[kept]
     return own, number, hashes, words
+
+
+#: Eight lanes of a byte, each 0 or 1, for every byte.
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def simhashes(hashes: np.ndarray, starts: np.ndarray, n: np.ndarray, weight: np.ndarray | None = None, most: int = 1, rows: int = 1 << 16) -> np.ndarray:
+    """64-bit SimHashes of runs of hashes, ``n`` of them from each start on, one behind the other and none empty; weights are 1 to ``most``.
+
+    Votes of a few hashes add up in lanes of a byte, and longer runs add the counts of their parts.
+    """
+    out = np.zeros(len(n), dtype=np.uint64)
+    run = 255 // most
+    weight = np.ones(len(hashes), dtype=np.uint64) if weight is None else weight
+    pieces = -(-n // run)
+    owner = np.repeat(np.arange(len(n)), pieces)
+    begin = np.repeat(starts, pieces) + run * spans(np.zeros(len(pieces), dtype=np.int64), pieces)
+    ends = np.append(begin[1:], len(hashes))
+    votes = np.zeros((len(begin), 64), dtype=np.uint8)
+    first = 0
+    while first < len(begin):
+        last = max(int(np.searchsorted(ends, begin[first] + rows, side="right")), first + 1)
+        a, b = begin[first], ends[last - 1]
+        lanes = _LANES[np.ascontiguousarray(hashes[a:b]).view(np.uint8).reshape(-1, 8)] * weight[a:b, None]
+        votes[first:last] = np.add.reduceat(lanes, begin[first:last] - a, axis=0).view(np.uint8)
+        first = last
+    total = np.add.reduceat(weight.astype(np.int64), starts) if len(starts) else np.zeros(0, dtype=np.int64)
+    pack = lambda ayes, of: np.packbits(2 * ayes > total[of, None], axis=1, bitorder="little").view(np.uint64).ravel()
+    single = pieces[owner] == 1
+    out[owner[single]] = pack(votes[single].astype(np.int64), owner[single])
+    long = np.flatnonzero(pieces > 1)
+    if len(long):
+        out[long] = pack(np.add.reduceat(votes[~single].astype(np.int64), np.cumsum(pieces[long]) - pieces[long], axis=0), long)
+    return out

@@ -2,16 +2,12 @@
 
 import random
 
-import numpy as np
-
-
-
 import corpus_pipeline
 from gossamer.llm.queries import QUERIES
 
 from .conftest import varied
 from .test_rows import brute_secrets, packed_right
-from .test_search import brute_lines, brute_print, close, components
+from .test_search import brute_copies, brute_lines
 
 
 def test_stages_against_brute_force(spark, tmp_path):
@@ -28,7 +24,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     gone = brute_lines(list(left.items()))
     left = {i: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone.get(i, ())) for i, t in left.items()}
     ids = sorted(left)
-    group = components(len(ids), close(np.array([brute_print(left[i]) for i in ids], dtype=np.uint64), 4))
+    group = brute_copies([left[i] for i in ids])
     left = {i: left[i] for n, i in enumerate(ids) if group[n] == n}
     masked = {}
     for i, t in left.items():

@@ -10,6 +10,7 @@ import xxhash
 
 from gossamer.llm.bitslice import frontier_links, links, neighbours, planes_of, scheme, shifted_pairs
 from gossamer.llm.line_dedup import Lines, dedup_lines, edit_distance, normalised, repeated_lines
+from gossamer.llm.near_copies import Shingles, keep_first_copy
 from gossamer.llm.pigeonhole import cells
 from gossamer.llm.simhash import fingerprint, keep_first, near_duplicates
 
@@ -120,6 +121,58 @@ def test_near_duplicates_at_the_edges(edges, nothing):
     assert near_duplicates(nothing).count() == 0 and keep_first(nothing).count() == 0
 
 
+def brute_copies(texts, least=0.8):
+    """The first of each group by Jaccard of five-word shingles alone, every pair."""
+    sets = []
+    for t in texts:
+        words = (t or "").encode().lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) > 5 else {tuple(words)})
+    return components(len(texts), [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]) - 1e-9])
+
+
+def copies(n=60, seed=31):
+    """Texts with copies that have one word in so many changed, left out or put in, so that some are near 0.8 and others under it."""
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(n):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.choice((3, 5, 30, 80, 300)))]
+        rows.append(" ".join(words))
+        for every in (200, 60, 50, 40, 30):
+            other = [x for w in words for x in ([w] if rng.random() > 1 / every else [[], [w, "more"], ["other"]][rng.randrange(3)])]
+            rows.append("  ".join(other).upper())
+    return list(enumerate(rows))
+
+
+def test_near_copies_against_every_pair(spark):
+    rows = copies() + [(1000 + i, t) for i, t in varied()]
+    group = brute_copies([t for _, t in rows])
+    expected = sorted(rows[i][0] for i, g in enumerate(group) if g == i)
+    got = sorted(r.doc_id for r in keep_first_copy(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect())
+    assert set(expected) <= set(got) and len(got) <= len(expected) + 2 and len(rows) - len(expected) > 150
+
+
+def test_shingles_of_a_batch_are_those_of_each():
+    texts = ["", " \n", "One", "a b c d e", "a B c d e f", "x " * 700, "ä b\tc d e f g h"]
+    every = Shingles(pa.array(texts, pa.large_string()))
+    assert [len(x) for x in every.sets()] == [0, 0, 1, 1, 2, 1, 4] and every.keys[0] == every.keys[1] == 0
+    for i, t in enumerate(texts):
+        alone = Shingles(pa.array([t], pa.large_string()))
+        assert alone.keys[0] == every.keys[i] and alone.prints()[0] == every.prints()[i] and alone.bands().to_pylist()[0] == every.bands().to_pylist()[i]
+    print_ = every.prints().view(np.uint64)[6]
+    hashes = every.hashes[every.owner == 6]
+    assert print_ == sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_near_copies_at_the_edges(spark, edges, nothing):
+    kept = keep_first_copy(edges)
+    ids = sorted((r.doc_id for r in kept.collect()), key=lambda i: (i is None, i))
+    assert kept.columns == edges.columns and keep_first_copy(nothing).count() == 0
+    assert ids == [1, 4, 5, 7, 10, 11, None, None]  # 12 repeats 5 three times, with the same shingles but for the joints
+    rows = [(1, "a b c d e f", "x", 1), (1, "an other text with more words", "y", 2), (1, "a b c d e f", "x", 1)]
+    got = keep_first_copy(spark.createDataFrame(rows, "doc_id long, text string, row string, own int")).collect()
+    assert sorted(tuple(r) for r in got) == sorted(set(rows))
+
+
 def levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
