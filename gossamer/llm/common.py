@@ -42,6 +42,7 @@ def text_batches(batches: Iterator[pa.RecordBatch], column: str, chars: int = 1
             to = min(max(int(np.searchsorted(ends, before + chars, side="right")), at + 1), at + rows)
             yield batch.slice(at, to - at)
             at = to
+        pa.default_memory_pool().release_unused()  # workers are reused, and the next operator's memory comes on top
 
 
 def quoted(name: str) -> str:

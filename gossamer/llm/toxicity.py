@@ -123,7 +123,7 @@ class Lexicon:
         """(symbol, weight, ends a clause) of a token with its punctuation; None for neutral ones inside a clause."""
         if token in self.known:
             return self.known[token]
-        if len(self.known) > 500_000:
+        if len(self.known) > 200_000:
             self.known.clear()
         word = token.strip(EDGES)
         symbol, weight = FIXED_SYMBOLS.get(word, NEUTRAL), 0.0

@@ -14,7 +14,7 @@ class _Hashes(dict):
     """64-bit hashes of words, remembered."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = out = xxhash.xxh64_intdigest(word)
         return out
