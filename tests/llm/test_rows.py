@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gossamer.llm import iblt
+from gossamer.llm import iblt, sharding
 from gossamer.llm.packing import byte_bpe, fill, pack, plan
 from gossamer.llm.quality import Bands, judge, measures, repeated_words, verdict
 from gossamer.llm.secrets import BASE, Rule, find_secrets, joined, ledger_at, redact
@@ -135,6 +135,22 @@ def test_shards(spark, edges, nothing, tmp_path):
     assert shuffle_into_shards(nothing, str(tmp_path / "n")).count() == 0
 
 
+def test_the_order_rebuilt(spark, tmp_path, monkeypatch):
+    """Buckets one after the other, each in the order of its seeded shuffle, whatever parts they are dealt into."""
+    monkeypatch.setattr(sharding, "MOST_PARTS", 3)
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in varied(150)], "doc_id long, text string, shard int, shard_ int")
+    size = sum(len(r.text.encode()) + 64 for r in df.collect())
+    buckets = -(-size // 4000)
+    named = df.select("doc_id", F.pmod(F.xxhash64(F.lit(sharding.SEED), "doc_id", "text"), F.lit(buckets)).alias("b"), F.xxhash64("doc_id", F.lit(sharding.SEED)).alias("h")).collect()
+    order = []
+    for b in range(buckets):
+        own = sorted((r.h, r.doc_id) for r in named if r.b == b)
+        order += [own[i][1] for i in fisher_yates(len(own), sharding.SEED, b).tolist()]
+    out = shuffle_into_shards(df, str(tmp_path / "o"), bucket_bytes=4000)
+    got = sorted((r.shard, r.slot, r.doc_id) for r in out.collect())
+    assert [d for _, _, d in got] == order and buckets > 6 and {"shard_", "shard__"} <= set(out.columns)
+
+
 # -- quality -------------------------------------------------------------------------------------------------------------------
 
 
