@@ -138,4 +138,5 @@ def judge(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document; edge cases as in ``judge``."""
     return judge(table(spark, sf_dir, "documents"))

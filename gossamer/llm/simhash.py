@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from gossamer.checkpoints import checkpoint
 from gossamer.llm.bitslice import links
-from gossamer.llm.common import id_text, record_batch, slices, table
+from gossamer.llm.common import id_text, quoted, record_batch, slices, table
 from gossamer.llm.pigeonhole import cells
 from gossamer.operators.components import connected_components
 
@@ -112,6 +112,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle_words: int = 4, se
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; edge cases as in ``near_duplicates``."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -119,8 +120,8 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_first(docs: DataFrame, radius: int = 4) -> DataFrame:
     """The rows of docs that come first, by doc_id, in their group of near-duplicates; all columns stay.
 
-    Of rows that repeat a doc_id one stays. Rows without a doc_id stay, as nothing names them.
+    All rows of a doc_id that comes first stay. Rows without a doc_id stay, as nothing names them. Columns may have any names.
     """
-    kept = near_duplicates(docs, radius).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.join(kept, docs["doc_id"].cast("long") == kept["__kept"], "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    kept = near_duplicates(docs, radius).where("doc_id = component_id").select("doc_id").distinct()
+    own = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("own"), F.col("doc_id").cast("long").alias("doc_id"))
+    return own.join(kept, "doc_id", "left_semi").unionByName(own.where("doc_id is null")).select("own.*")

@@ -36,8 +36,8 @@ CLAUSE_ENDS = ".!?;:"
 
 #: Labelled rows the model is fitted on at most, those with the smallest hash of the id.
 TRAIN_ROWS = 20_000
-#: Learned entries at most, those with the largest weights.
-TERMS = 20_000
+#: Tokens behind a negation that it reaches.
+REACH = 3
 #: Toxic training texts that an entry occurs in at least, and the least log-odds it needs.
 LEAST_TEXTS, LEAST_WEIGHT = 5, 2.5
 STEMS = range(4, 9)
@@ -68,7 +68,7 @@ def compose(first: Transducer, second: Transducer) -> Transducer:
     return Transducer((first.start, second.start), step)
 
 
-def negation(reach: int = 3) -> Transducer:
+def negation(reach: int = REACH) -> Transducer:
     """Insults and threats up to ``reach`` tokens behind a negation lose most of their weight."""
 
     def step(left, symbol):
@@ -153,7 +153,7 @@ def clause_scores(text: str, lexicon: Lexicon, machine: Transducer) -> tuple[lis
             if found is None:
                 continue
             symbol, weight, ends = found
-            for _ in range(min(i - at - 1, 4)):  # neutral tokens in between; further ones change no state
+            for _ in range(min(i - at - 1, REACH + 1)):  # neutral tokens in between; further ones change no state
                 state = machine.move(state, NEUTRAL)[0]
             state, _, factor, bonus = machine.move(state, symbol)
             score += factor * weight + bonus
@@ -222,15 +222,18 @@ def _entries(text: str) -> Counter:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """(doc_id, text, toxic) of labelled documents outside the held-out fold, ``rows`` labels at most."""
+    """(doc_id, toxic, text) of labelled documents outside the held-out fold, ``rows`` at most; of rows that share an id one text counts."""
     labelled = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     labelled = labelled.where("toxic is not null").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     sample = labelled.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return id_text(docs).join(F.broadcast(sample), "doc_id")  # the sample's size is fixed
+    return id_text(docs).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # the sample's size is fixed
 
 
-def learn_lexicon(train: DataFrame, terms: int = TERMS) -> Lexicon:
-    """Entries much more frequent in toxic texts, weighted by log-odds. Counts are made and filtered in Spark."""
+def learn_lexicon(train: DataFrame) -> Lexicon:
+    """Entries much more frequent in toxic texts, weighted by log-odds. Counts are made and filtered in Spark.
+
+    Entries come from the bounded training sample, each from LEAST_TEXTS toxic texts of it or more, and none is left out.
+    """
     names = ["texts_1", "texts_0", "uses_1", "uses_0"]
     schema = pa.schema([("entry", pa.string())] + [(n, pa.int64()) for n in names])
 
@@ -263,7 +266,7 @@ def learn_lexicon(train: DataFrame, terms: int = TERMS) -> Lexicon:
         return Lexicon()
     odds = lambda a, b, m: F.log((F.col(a) + 0.1) / totals[a]) - F.log((F.col(b) + 1) / max(totals[b], 1)) + m
     weighed = summed.where(~all_ & (F.col("texts_1") >= LEAST_TEXTS)).select("entry", odds("uses_1", "uses_0", 0).alias("w"), odds("texts_1", "texts_0", 2).alias("v"))
-    kept = weighed.where((F.col("w") > LEAST_WEIGHT) & (F.col("v") > LEAST_WEIGHT)).orderBy(F.desc("w"), "entry").limit(terms)
+    kept = weighed.where((F.col("w") > LEAST_WEIGHT) & (F.col("v") > LEAST_WEIGHT))
     return Lexicon({r["entry"]: r["w"] for r in kept.collect()})
 
 
@@ -316,6 +319,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document, labels learned outside the held-out fold. Null texts count as empty and a null id is not held out."""
     docs = table(spark, sf_dir, "documents")
     scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
