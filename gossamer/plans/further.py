@@ -39,7 +39,7 @@ def broken_files(spark: SparkSession, d: str) -> DataFrame:
     m = X.kept(spark, d, "spread").select("msg").coalesce(1)
     out = None
     for framing in FRAMINGS:
-        cut = framed_files(m, framing).select("path", F.expr("substring(content, 1, length(content) - 40)").alias("content"))
+        cut = framed_files(m, framing, leave=40)
         got = messages_of(cut, framing, failfast=False).agg(F.count("msg").alias("whole"), F.count_if(F.col("msg").isNull()).alias("broken"))
         got = got.select(F.lit(framing).alias("framing"), "whole", "broken")
         out = got if out is None else out.union(got)

@@ -11,7 +11,7 @@ import glob
 import io
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +20,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from pyspark.sql.types import StructType
 
 from gossamer.schemas import RAW_DDL
-from gossamer.sources.framing import FRAMINGS, begin, detect, frame_all, hop, messages
+from gossamer.sources.framing import FRAMINGS, UNKNOWN, FramingError, begin, detect, frame_all, hop, messages
 
 #: Messages of an Arrow batch.
 BATCH = 10_000
@@ -234,39 +234,137 @@ def read_binary(spark: SparkSession, path: str, framing: str = "auto", skip_vers
     return messages_of(spark.read.format("binaryFile").load(path), framing, skip_version, failfast, start)
 
 
-def framed_files(messages: DataFrame, framing: str) -> DataFrame:
-    """(path, content): a file for each partition of messages (msg), in the order of its rows, as what ``binaryFile`` reads."""
+#: Bytes of a piece of a file, about; Spark sends 10,000 of them at once from one step to the next.
+PIECE_BYTES = 4 << 10
+#: Bytes of a file that are read ahead.
+AHEAD = 1 << 20
+
+
+def _cut(parts: Iterable[bytes], size: int, leave: int) -> Iterator[bytes]:
+    """The parts joined to pieces of ``size`` bytes or more, without the last ``leave`` bytes; an empty piece if there are none."""
+    held, any_ = bytearray(), False
+    for part in parts:
+        held += part
+        if len(held) >= size + leave:
+            end = len(held) - leave
+            yield bytes(held[:end])
+            del held[:end]
+            any_ = True
+    rest = bytes(held[: max(len(held) - leave, 0)])
+    if rest or not any_:
+        yield rest
+
+
+class _Joined(io.RawIOBase):
+    """The pieces of a file as a stream that goes forward."""
+
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.held, self.at, self.place = pieces, b"", 0, 0
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def tell(self) -> int:
+        return self.place
+
+    def seek(self, offset: int, whence: int = 0) -> int:
+        if whence or offset < self.place:
+            raise io.UnsupportedOperation("this stream goes forward")
+        while self.place < offset and self.readinto(memoryview(bytearray(min(offset - self.place, AHEAD)))):
+            pass
+        return self.place
+
+    def readinto(self, b: memoryview) -> int:
+        n = 0
+        while n < len(b):
+            if self.at >= len(self.held):
+                self.held, self.at = next(self.pieces, None), 0
+                if self.held is None:
+                    self.held = b""
+                    break
+            part = self.held[self.at : self.at + len(b) - n]
+            b[n : n + len(part)] = part
+            n, self.at = n + len(part), self.at + len(part)
+        self.place += n
+        return n
+
+
+def framed_files(messages: DataFrame, framing: str, leave: int = 0) -> DataFrame:
+    """(path, file, piece, content): a file for each partition of messages (msg), in the order of its rows and numbered by it, in pieces that
+    follow each other from number 0 on; the last ``leave`` bytes of each file are left out. A task holds some pieces at a time."""
+    schema = pa.schema([("path", pa.string()), ("file", pa.int64()), ("piece", pa.int64()), ("content", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         rows = (m for batch in batches for m in batch.column(0).to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array([f"part-{TaskContext.get().partitionId():05d}"]), pa.array([b"".join(frame_all(rows, framing))])], names=["path", "content"])
+        number, first, held, size = TaskContext.get().partitionId(), 0, [], 0
 
-    return messages.select("msg").mapInArrow(run, "path string, content binary")
+        def out() -> pa.RecordBatch:
+            n = len(held)
+            columns = [f"part-{number:05d}"] * n, [number] * n, range(first, first + n), held
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+        for piece in _cut(frame_all(rows, framing), PIECE_BYTES, leave):
+            held.append(piece)
+            size += len(piece)
+            if size >= AHEAD:
+                yield out()
+                first, held, size = first + len(held), [], 0
+        if held:
+            yield out()
+
+    return messages.select("msg").mapInArrow(run, "path string, file long, piece long, content binary")
 
 
 def messages_of(files: DataFrame, framing: str = "auto", skip_version: bool = True, failfast: bool = True, start: int = 0) -> DataFrame:
-    """The messages of files (path, content); files are numbered by their paths."""
-    names = sorted(r["path"] for r in files.select("path").collect())  # names alone
+    """The messages of files (path, content); files are numbered by their paths.
+
+    With columns ``file`` and ``piece`` a file has a number already, and may lie in several rows that follow each other in a partition, as
+    ``framed_files`` gives them.
+    """
+    pieced = {"file", "piece"} <= set(files.columns)
+    names = [] if pieced else sorted(r["path"] for r in files.select("path").collect())  # names alone
     number = {n: i for i, n in enumerate(names)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = (x for batch in batches for x in zip(*(c.to_pylist() for c in batch.columns)))
+        ahead = next(parts, None)
+
+        def pieces(name: str) -> Iterator[bytes]:
+            """Those of the file that begins with the row ``ahead``."""
+            nonlocal ahead
+            expected = 0
+            while ahead is not None and (not expected or ahead[2]):
+                if ahead[0] != name or ahead[2] != expected:
+                    raise FramingError(f"piece {expected} of {name!r} expected, {ahead[2]} of {ahead[0]!r} found")
+                data, expected = ahead[1], expected + 1
+                ahead = next(parts, None)
+                yield data or b""
+
         def rows():
-            for batch in batches:
-                for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    if not data:
-                        continue
-                    f = io.BytesIO(data)
-                    own = _framing(framing, data[:11])
-                    begin(f, own, skip_version)
-                    for i, (frame, msg) in enumerate(messages(f, own, len(data), failfast, mark=True)):
+            while ahead is not None:
+                name = ahead[0]
+                file = ahead[3] if pieced else number[name]
+                length = UNKNOWN if pieced else len(ahead[1] or b"")
+                own = pieces(name)
+                f = io.BufferedReader(_Joined(own), AHEAD)
+                head = f.peek(11)[:11]
+                if head:
+                    kind = _framing(framing, head)
+                    begin(f, kind, skip_version)
+                    for i, (frame, msg) in enumerate(messages(f, kind, length, failfast, mark=True)):
                         if i >= start:
-                            yield name, (number[name] << FILE_ORD) + i, msg, frame.flags, frame.crc, frame.ts
+                            yield name, (file << FILE_ORD) + i, msg, frame.flags, frame.crc, frame.ts
+                for _ in own:  # what stands behind the end that the format names
+                    pass
 
         yield from _batches(rows())
 
-    return files.select("path", "content").mapInArrow(run, RAW_DDL)
+    return files.select("path", "content", *(["piece", "file"] if pieced else [F.lit(0).cast("long")])).mapInArrow(run, RAW_DDL)
 
 
 def raw_responses(files: DataFrame, as_json: bool = False) -> DataFrame:

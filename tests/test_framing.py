@@ -6,7 +6,7 @@ import os
 import pytest
 
 from gossamer.sources.framing import FRAMINGS, FramingError, begin, detect, frame_all, messages
-from gossamer.sources.gossip import raw_responses, read_binary, register
+from gossamer.sources.gossip import PIECE_BYTES, framed_files, messages_of, raw_responses, read_binary, register
 
 ITEMS = [bytes([i]) * (40 + i * 7) for i in range(1, 40)] + [b"x" * 70_000]
 
@@ -117,3 +117,36 @@ def test_broken_files_fail_unless_told_otherwise(spark, tmp_path):
             read_().collect()
     for kept in (read_binary(spark, path, failfast=False), spark.read.format("gossip").option("mode", "PERMISSIVE").load(path)):
         assert [r.msg for r in kept.orderBy("ord").collect()] == [bytearray(b"a" * 40), None]
+
+
+@pytest.mark.parametrize("framing", FRAMINGS)
+def test_framed_files_come_in_pieces(spark, framing):
+    sizes = [40, PIECE_BYTES, 41, 3 * PIECE_BYTES, 65_535] + [50] * 2000 + ([] if framing == "gossip_store" else [3_000_000, 60])
+    rows = [(i, bytearray((i % 251).to_bytes(1, "big") * n)) for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "i int, msg binary").coalesce(1).sortWithinPartitions("i").select("msg")
+    files = framed_files(df, framing)
+    held = files.collect()
+    whole = b"".join(frame_all([bytes(m) for _, m in rows], framing))
+    # no row holds much more than a piece and a message, which is what a task's memory depends on
+    assert b"".join(bytes(r.content) for r in held) == whole and max(len(r.content) for r in held) < PIECE_BYTES + max(sizes) + 20
+    assert [r.piece for r in held] == list(range(len(held))) and len(held) > 20
+    assert [bytes(r.msg) for r in messages_of(files, framing).orderBy("ord").collect()] == [bytes(m) for _, m in rows]
+    late = messages_of(files, start=10).orderBy("ord").collect()
+    assert [r.ord for r in late] == list(range(10, len(rows)))
+    cut = framed_files(df, framing, leave=30)
+    assert b"".join(bytes(r.content) for r in cut.collect()) == whole[:-30]
+    with pytest.raises(Exception, match="cut short"):
+        messages_of(cut, framing).collect()
+    kept = messages_of(cut, framing, failfast=False).orderBy("ord").collect()
+    assert [r.msg for r in kept] == [m for _, m in rows[:-1]] + [None]
+    assert framed_files(df, framing, leave=10**9).count() == 1 and messages_of(framed_files(df, framing, leave=10**9), framing).count() == 0
+    with pytest.raises(Exception, match="expected"):
+        messages_of(files.where("piece <> 1"), framing).count()
+
+
+def test_files_of_several_partitions_and_empty_ones(spark):
+    df = spark.range(0, 3000, 1, 3).selectExpr("CAST(CONCAT('message ', id, repeat('x', 40)) AS BINARY) AS msg").where("msg NOT LIKE '%message 1___x%'")
+    files = framed_files(df, "varint")
+    assert {r.path for r in files.collect()} == {"part-00000", "part-00001", "part-00002"}
+    got = messages_of(files.localCheckpoint().coalesce(1), "varint").orderBy("ord").collect()
+    assert [bytes(r.msg) for r in got] == [bytes(r.msg) for r in df.collect()] and {r.ord >> 40 for r in got} == {0, 2}
