@@ -150,3 +150,11 @@ def test_files_of_several_partitions_and_empty_ones(spark):
     assert {r.path for r in files.collect()} == {"part-00000", "part-00001", "part-00002"}
     got = messages_of(files.localCheckpoint().coalesce(1), "varint").orderBy("ord").collect()
     assert [bytes(r.msg) for r in got] == [bytes(r.msg) for r in df.collect()] and {r.ord >> 40 for r in got} == {0, 2}
+
+
+def test_framings_are_detected_over_pieces(spark):
+    df = spark.range(0, 500, 1, 1).selectExpr("CAST(CONCAT('message ', id, repeat('x', 40)) AS BINARY) AS msg")
+    for framing in FRAMINGS:
+        files = framed_files(df, framing)
+        assert files.count() > 3
+        assert [r.ord for r in messages_of(files, start=100).orderBy("ord").collect()] == list(range(100, 500))
